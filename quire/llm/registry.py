@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing
+from quire.llm import mixing, packing, tokenfile
 
 QUERIES = {
+    "op2_token_shards": tokenfile.op2_token_shards,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op8_fair_mix": mixing.op8_fair_mix,
 }
 
