@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, packing, tokenfile
+from quire.llm import mixing, packing, quality, tokencount, tokenfile, toxicity
 
 QUERIES = {
+    "op1_clause_grammar": toxicity.op1_clause_grammar,
     "op2_token_shards": tokenfile.op2_token_shards,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_state_machine_counts": tokencount.op5_state_machine_counts,
+    "op7_rule_ensemble": quality.op7_rule_ensemble,
     "op8_fair_mix": mixing.op8_fair_mix,
 }
 
