@@ -50,20 +50,24 @@ def schedule(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     finish (virtual finish time of the first lap; null if the target is 0). Null texts have size 0 and take 0. Null
     ids sort first, null sources are one source of their own, repeated rows are served one by one.
     """
-    base = docs.select("doc_id", "source", *carry, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = written(base.withColumn("k", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "sized")
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    full = docs.select("doc_id", "source", *carry, size, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("k"))
+    sized = written(full.drop(*carry), "sized")
     digits = 1
     while 16 ** digits * ROWS_PER_BUCKET < sized.count() and digits < 7:
         digits += 1
-    # a null source and an empty one differ
-    sized = sized.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("b", F.substring("k", 1, digits))
-    parts = sized.groupBy("src", "b").agg(F.first("source").alias("source"), F.sum("size").alias("part"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        # a null source and an empty one differ
+        return rows.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("b", F.substring("k", 1, digits))
+
+    parts = dealt(sized).groupBy("src", "b").agg(F.first("source").alias("source"), F.sum("size").alias("part"))
     per_source = targets(parts.groupBy("src").agg(F.first("source").alias("source"), F.sum("part").alias("source_size")).drop("src"))
     per_source = per_source.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     ahead = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("ahead", F.coalesce(F.sum("part").over(ahead), F.lit(0))).select("src", "b", "ahead").join(per_source, "src")
     within = Window.partitionBy("src", "b").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(parts, ["src", "b"])
+    out = dealt(full if carry else sized).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(parts, ["src", "b"])
     out = out.withColumn("before", F.col("ahead") + F.col("inside")).withColumn("room", F.floor("target") - F.col("before"))
     taken = _between(F.col("room"), F.col("size")) + _between(F.col("room") - F.col("source_size"), F.col("size"))
     return out.withColumn("taken", taken).withColumn("finish", F.try_divide(F.col("before") + F.col("size"), F.col("target"))).drop("src", "b", "k", "ahead", "inside", "weight")
@@ -72,12 +76,12 @@ def schedule(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents: a row for each copy of which at least half is taken, range-sorted by virtual finish time.
 
-    Columns as in `docs`, which needs doc_id, text and source; other columns are carried along. A document of size 0
-    has nothing to take and is left out.
+    Columns as in `docs`, which needs doc_id, text and source; other columns are carried along, whatever their names.
+    A document of size 0 has nothing to take and is left out.
     """
     other = [c for c in docs.columns if c not in ("doc_id", "source")]
-    hold = docs.select("doc_id", "source", "text", F.struct(*other).alias("held"))
-    s = schedule(hold, ("text", "held"))
+    hold = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in other]).alias("held"))
+    s = schedule(hold, ("held",))
     lap = F.explode(F.array(F.lit(0), F.lit(1))).alias("lap")
     copies = s.where("size > 0").select("*", lap).withColumn("got", _between(F.col("room") - F.col("lap") * F.col("source_size"), F.col("size")))
     copies = copies.where("2 * got >= size").withColumn("finish", F.col("finish") + F.col("lap") * F.col("source_size") / F.col("target"))

@@ -238,3 +238,9 @@ def apart(docs: DataFrame, buckets: DataFrame, found: DataFrame, tested: DataFra
 
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(documents(spark, sf_dir), SHINGLE)
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its group, with all their columns; rows with a null id stay."""
+    gone = written(grouped(docs, size).where("NOT kept").select(F.col("doc_id").alias("_quire_id")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_quire_id"), "left_anti")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,10 +74,11 @@ class Rule:
             out &= (x[:, k] > cut) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         out = F.lit(True)
         for k, above, cut in self.tests:
-            out = out & ((F.col(STATS[k]) > cut) if above else (F.col(STATS[k]) <= cut))
+            value = F.col(prefix + STATS[k])
+            out = out & ((value > cut) if above else (value <= cut))
         return out
 
 
@@ -143,14 +145,33 @@ def label_sample(labelled: DataFrame, column: str, folds: int, held_out: int, mo
     return rows.groupBy("doc_id").agg(F.max(column).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def compiled(rules: list[tuple[Rule, float]], bias: float) -> Column:
+def compiled(rules: list[tuple[Rule, float]], bias: float, prefix: str = "") -> Column:
     """The ensemble as one column expression over the statistics."""
     z = F.lit(bias)
     for rule, weight in rules:
-        z = z + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
+        z = z + F.when(rule.column(prefix), F.lit(weight)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-z))
 
 
+def fitted(stats: DataFrame, labelled: DataFrame, sample: int) -> tuple[list[tuple[Rule, float]], float]:
+    train = stats.join(label_sample(labelled, "quality", FOLDS, HELD_OUT, sample), "doc_id").orderBy("doc_id", *STATS).limit(2 * sample)
+    pdf = train.toPandas()
+    return learn(pdf[list(STATS)].to_numpy(float), pdf["y"].to_numpy(float))
+
+
+def accepted(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` that the classifier accepts, with all their columns; texts stay where they are."""
+    ids = F.broadcast(label_sample(labelled, "quality", FOLDS, HELD_OUT, sample).select("doc_id"))  # bounded by `sample`
+    rules, bias = fitted(written(with_statistics(docs.join(ids, "doc_id", "left_semi")), "quality"), labelled, sample)
+
+    @F.pandas_udf(", ".join(f"{s} double" for s in STATS))
+    def stats(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics(t) for t in texts], columns=list(STATS))
+
+    held = "_quire_stats"
+    return docs.withColumn(held, stats(F.col("text").cast("string"))).where(compiled(rules, bias, f"{held}.") >= THRESHOLD).drop(held)
+
+
 def classify(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; rules are learned from `sample` labelled rows at most.
 
@@ -158,10 +179,7 @@ def classify(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Data
     null ids are carried and never learned from; repeated rows are scored alike; with no labels the score is 0.5.
     """
     stats = written(with_statistics(docs), "quality")
-    train = stats.join(label_sample(labelled, "quality", FOLDS, HELD_OUT, sample), "doc_id").orderBy("doc_id", *STATS).limit(2 * sample)
-    pdf = train.toPandas()
-    x, y = pdf[list(STATS)].to_numpy(float), pdf["y"].to_numpy(float)
-    rules, bias = learn(x, y)
+    rules, bias = fitted(stats, labelled, sample)
     scored = stats.withColumn("score", compiled(rules, bias)).withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *STATS)
 

@@ -11,11 +11,12 @@ Insults are seeds, plus words and word beginnings that labelled texts show to be
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import batch, crc_mod, documents, labels, slices, words, written
@@ -216,21 +217,44 @@ def with_features(docs: DataFrame, weights: dict[bytes, float], *more: str) -> D
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, kind)
 
 
+def fitted(docs: DataFrame, labelled: DataFrame, sample: int) -> tuple[dict[bytes, float], np.ndarray, float]:
+    ids = F.broadcast(label_sample(labelled, "toxic", FOLDS, HELD_OUT, sample))  # bounded by `sample`
+    weights, coef, bias = learn(written(docs.select("doc_id", "text").join(ids, "doc_id"), "toxic"))
+    if not coef.any():
+        coef, bias = np.array([1.0, 2.0, 2.0, 0.0, 0.5, 3.0, 0.0]), bias - 2.0
+    return weights, coef, bias
+
+
+def linked(coef: np.ndarray, bias: float, prefix: str = "") -> Column:
+    z = F.lit(bias)
+    for f, w in zip(FEATURES, coef, strict=True):
+        z = z + F.lit(float(w)) * F.log1p(F.col(prefix + f))
+    return 1 / (1 + F.exp(-z))
+
+
+def clean(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` that aren't predicted toxic, with all their columns; texts stay where they are."""
+    weights, coef, bias = fitted(docs, labelled, sample)
+    grammars: list[Grammar] = []
+
+    @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
+    def features(texts: pd.Series) -> pd.DataFrame:
+        if not grammars:
+            grammars.append(Grammar(weights))
+        return pd.DataFrame([grammars[0].features(t) for t in texts], columns=list(FEATURES))
+
+    held = "_quire_clauses"
+    return docs.withColumn(held, features(F.col("text").cast("string"))).where(linked(coef, bias, f"{held}.") < THRESHOLD).drop(held)
+
+
 def score_toxicity(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted, and the clause weights) of every row, learned from `sample` labels at most.
 
     Null and empty texts have no clause and get the score of a text that says nothing; null ids are carried and never
     learned from; repeated rows are scored alike; with no labels the seeds alone decide, from an even prior.
     """
-    ids = F.broadcast(label_sample(labelled, "toxic", FOLDS, HELD_OUT, sample))  # bounded by `sample`
-    learned = written(docs.select("doc_id", "text").join(ids, "doc_id"), "toxic")
-    weights, coef, bias = learn(learned)
-    if not coef.any():
-        coef, bias = np.array([1.0, 2.0, 2.0, 0.0, 0.5, 3.0, 0.0]), bias - 2.0
-    z = F.lit(bias)
-    for f, w in zip(FEATURES, coef, strict=True):
-        z = z + F.lit(float(w)) * F.log1p(F.col(f))
-    scored = with_features(docs, weights).withColumn("score", 1 / (1 + F.exp(-z))).withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT)
+    weights, coef, bias = fitted(docs, labelled, sample)
+    scored = with_features(docs, weights).withColumn("score", linked(coef, bias)).withColumn("held_out", crc_mod("doc_id", FOLDS) == HELD_OUT)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *FEATURES)
 
 
