@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: What a binaryFile source has; a stream must name it.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def file_stream(spark: SparkSession, path: str, glob: str = "*.pdf", at_once: int = 1000) -> DataFrame:
     """(doc_id, content, modified, length) of files as they appear; the tables of sources.pdf take it as it is."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", at_once).load(path)
+    found = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", at_once).load(path)
     return found.select(F.col("path").alias("doc_id"), "content", F.col("modificationTime").alias("modified"), "length")
 
 
