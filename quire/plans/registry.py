@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import filters, geometry, strings
 from quire.operators import content, graph, layout, pages
-from quire.sources import pdf
+from quire.sources import compose, pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +82,28 @@ def content_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.states(streams).groupBy("depth", "text_block", "font", F.col("ctm")[4].alias("ctm_e")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT (conv_id // 10)::VARCHAR AS doc_id, row_number() OVER (PARTITION BY conv_id // 10 ORDER BY conv_id, turn)::INT AS page_no, coalesce(text, '') AS text FROM conversations""")
+def pdf_joined_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten files in one, pages copied whole."""
+    order = Window.partitionBy("out_doc").orderBy("conv_id", "turn")
+    plan = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 10).cast("string").alias("out_doc"), "conv_id", "turn")
+    plan = plan.select("out_doc", F.row_number().over(order).alias("out_page"), F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).alias("page_no"), F.lit(True).alias("whole"))
+    made = compose.compose(conversation_files(spark, sf_dir), plan, compress=True)
+    return pdf.pages(made).select("doc_id", "page_no", F.decode("content", "UTF-8").alias("text"))
+
+
+@query("SELECT conv_id::VARCHAR AS doc_id, ((count(*) + 3) // 4)::BIGINT AS sheets, count(*) AS fragments, 792.0::DOUBLE AS height FROM conversations GROUP BY conv_id")
+def pdf_four_up_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pages a sheet, as fragments at half their size."""
+    made = conversation_files(spark, sf_dir)
+    half = lambda c, size: (F.col(c) * F.col("scale") * size)
+    plan = pages.grid(pdf.pages(made)).select(F.col("doc_id").alias("out_doc"), F.col("sheet").alias("out_page"), "doc_id", "page_no", "scale", half("x", 612).alias("x"), half("y", 792).alias("y"))
+    sheets = pdf.pages(compose.compose(made, plan))
+    shown = content.operators(sheets.select(F.concat_ws("/", "doc_id", "page_no").alias("doc_id"), "content")).where("op = 'Do'")
+    counted = shown.groupBy(F.split("doc_id", "/")[0].alias("doc_id")).agg(F.count("*").alias("fragments"))
+    return sheets.groupBy("doc_id").agg(F.count("*").alias("sheets"), F.max(F.col("media_box")[3]).alias("height")).join(counted, "doc_id")
+
+
 # --- page algebra ---
 
 
