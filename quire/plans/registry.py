@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import filters, geometry, strings
+from quire.functions import filters, geometry, strings, values
 from quire.operators import content, graph, layout, pages
 from quire.sources import compose, pdf
 
@@ -409,6 +409,26 @@ def linepos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", strings.line_column(F.col("text"), F.length("text")).alias("line"))
 
 
+@query("""SELECT c_custkey, '<</Name (' || c_name || ')' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' /Seg#20ment /' || c_mktsegment END || ' /Size ' || c_custkey % 10 || '>>' AS dictionary, CASE WHEN c_custkey % 3 > 0 THEN '/' || c_mktsegment END AS segment FROM customer""")
+def dict_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys set, overwritten and taken away, then written in order."""
+    base = F.create_map(F.lit("/Size"), F.lit("0"), F.lit("/Seg ment"), F.lit("x"), F.lit("/Old"), F.lit("null"))
+    held = values.merged(values.drop(base, "/Old"), F.create_map(F.lit("/Size"), (F.col("c_custkey") % 10).cast("string")))
+    held = values.put(held, "/Name", strings.literal_column(F.col("c_name")))
+    held = values.put(held, "/Seg ment", F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("/"), "c_mktsegment")))
+    made = table(spark, sf_dir, "customer").select("c_custkey", held.alias("held"))
+    return made.select("c_custkey", values.written(F.col("held")).alias("dictionary"), values.get(F.col("held"), "/Seg ment").alias("segment"))
+
+
+@query("""SELECT l_orderkey, count(*) FILTER (l_linenumber = 2)::INT AS twos, CASE WHEN count(*) FILTER (l_linenumber = 2) > 0 THEN count(*) FILTER (l_linenumber < 2) END::BIGINT AS first_two,
+  (count(*) - least(count(*) FILTER (l_linenumber = 2), 1))::INT AS without_two, (count(*) - 1)::INT AS without_last FROM lineitem GROUP BY l_orderkey""")
+def array_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("a")
+    arrays = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("a"))
+    two = F.lit(2)
+    return arrays.select("l_orderkey", values.count_of(a, two).alias("twos"), values.index_of(a, two).alias("first_two"), F.size(values.without_first(a, two)).alias("without_two"), F.size(values.without_last(a)).alias("without_last"))
+
+
 # --- tokens and filters ---
 
 
