@@ -27,11 +27,11 @@ SMOOTH = 0.1
 OWN, SHARED = 767, 256
 SYMBOLS = OWN + SHARED + 1
 #: Words whose counts go to every task.
-FREQUENT = 200_000
+FREQUENT = 100_000
 #: Size of a vector, noise words a pair, steps and their length.
 WIDTH, NOISE, STEPS, RATE = 24, 10, 120, 0.05
 END = b""
-COUNTED = 400_000
+COUNTED = 250_000
 ROWS = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
     ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())),
@@ -76,13 +76,29 @@ class Symbols(dict):
         self.own = own
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
             self.update(self.own)
         s = self[word] = OWN + ending(word)
         return s
 
 
+def most_frequent(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes, int]]:
+    """The most frequent words and their counts, `most` at most: all above a step of the scale of counts, found from how
+    many words each step has, so that no task or driver sorts the vocabulary."""
+    step = F.floor(F.log2("c") * 16)
+    room, low = most, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # 16 steps a doubling
+        room -= r["n"]
+        if room < 0:
+            break
+        low = r["step"]
+    if low is None:
+        return []
+    found = counts.where(step >= low).toArrow().to_pydict()
+    return sorted(zip(found["word"], found["c"], strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def own_symbols(frequent: list[tuple[bytes, int]]) -> dict[bytes, int]:
     out = {w: k for k, (w, _) in enumerate([x for x in frequent if x[0] != END][:OWN])}
     return out | {END: SYMBOLS - 1}
@@ -130,6 +146,7 @@ class LogBilinear:
         expectation, so that each step uses the counts of the whole corpus. Contexts weigh by the root of their count."""
         each = pairs.sum(axis=1)
         if not each.sum():
+            self.before[:] = 0  # nothing is known: all symbols are equally likely
             return self
         unigram = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * len(pairs))
         self.bias = np.log(unigram).astype(np.float32)
@@ -188,7 +205,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """
     counts = written(word_counts(docs), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
+    frequent = most_frequent(counts)
     own = own_symbols(frequent)
     table = LogBilinear(SYMBOLS).fit(pair_counts(docs, own)).log10()
     share = np.log10(class_masses(counts, own))
