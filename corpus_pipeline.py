@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import mixing, neardup, packing, quality, toxicity
 from quire.llm.common import documents, labels, written

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import batch, crc_mod, documents, labels, slices, words, written
-from quire.llm.fit import lasso_logistic, sigmoid
+from quire.llm.fit import lasso_logistic
 from quire.llm.quality import label_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
@@ -84,7 +84,7 @@ class Grammar:
         """A word's class and weight; the strongest of the word and its listed beginnings counts."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 300_000:
                 self.known.clear()
             core = word.strip(STRIP)
             weight = max([self.weights.get(core, 0.0)] + [self.weights.get(s, 0.0) for s in stems(core)])
@@ -122,9 +122,10 @@ class Grammar:
         state, plain, denied = (0, 0, 0, 0, 0), 0.0, 0.0
         for w in clause:
             kind, weight = self.kind(w)
-            weight = 0.0 if w in heard else weight
             if kind == INSULT:
-                heard.add(w)
+                core = w.strip(STRIP)
+                weight = 0.0 if core in heard else weight
+                heard.add(core)
             if kind == INSULT and state[3]:
                 denied += weight
             elif kind == INSULT:
