@@ -106,7 +106,7 @@ def inflate_udf(data: pd.Series) -> pd.Series:
 
 @F.pandas_udf(BinaryType())
 def deflate_udf(data: pd.Series) -> pd.Series:
-    """Deflated, or as it was where that doesn't pay; see deflate()."""
+    """Deflated, whether or not that pays."""
     return data.map(lambda b: None if b is None else zlib.compress(bytes(b)))
 
 
