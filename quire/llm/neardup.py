@@ -26,7 +26,10 @@ SHINGLE, STAGE_SHINGLE, SHARE = 2, 5, 80
 SKETCHES, DEPTH = 10, 2
 #: Members that are compared with one copy of their hub's set, and bits of the filter for documents that are asked for.
 FAN, FILTER_BITS = 64, 1 << 23
-WORDS_KEPT = 1_000_000
+#: Bits of a trace, by which pairs are ruled out ahead of the full comparison.
+TRACE = 2048
+BLOCK = 1024
+WORDS_KEPT = 400_000
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
 SETS = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -93,7 +96,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>")
 
 
-def near_enough(a: Column, b: Column, most: Column) -> Column:
+def near_enough(a, b, most):
     """Whether sets of sizes a and b with at most `most` common shingles can be linked."""
     return 100 * most >= SHARE * (a + b - most)
 
@@ -180,10 +183,11 @@ def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     nodes = written(nodes, "nodes")
     keys = nodes.select("id", "n", F.posexplode("left").alias("i", "l"), "right").select("id", "n", "i", "l", F.posexplode("right").alias("j", "r"))
     keys = keys.select(F.xxhash64("i", "l", "j", "r").alias("key"), "id", "n")
-    hubs = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
     buckets = written(keys.join(hubs, "key"), "buckets")
-    first = buckets.where(F.col("id") != F.col("hub.id")).where(near_enough(F.col("n"), F.col("hub.n"), F.least("n", "hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    first = written(first, "first")
+    first = buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").distinct()
+    first = first.join(nodes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").where(near_enough(F.col("n"), F.col("m"), F.least("n", "m")))
+    first = written(first.select("a", "b").distinct(), "first")
     # rows of one id with different texts are one node already
     same = sig.where("doc_id IS NOT NULL AND n_shingles > 0").join(nodes.select("digest", "id"), "digest").where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     several = sig.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.countDistinct("digest").alias("texts")).where("texts > 1").select(F.col("doc_id").alias("b"))
@@ -200,40 +204,93 @@ def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def apart(docs: DataFrame, buckets: DataFrame, found: DataFrame, tested: DataFrame, size: int) -> DataFrame:
-    """Pairs (a, b) of a bucket that lie in different components, haven't been compared, and can still be linked.
+def traces(sets: DataFrame) -> DataFrame:
+    """(id, bits_0, bits_1, ...): the places of a set's shingles among TRACE bits."""
+    names = [f"bits_{k}" for k in range(TRACE // 64)]
+    schema = pa.schema([("id", pa.int64())] + [(c, pa.int64()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b.column(1).to_pylist()
+            on = np.zeros((len(found), TRACE), bool)
+            for row, data in zip(on, found, strict=True):
+                row[(np.frombuffer(data, "<u8") % np.uint64(TRACE)).astype(np.int64)] = True
+            bits = np.packbits(on, axis=1).view(np.int64)
+            yield batch(schema, id=b.column(0), **{c: bits[:, k] for k, c in enumerate(names)})
 
-    Common shingles of such a pair lie in two components at least, so a node's shingles that are in no other component
-    don't count: with s of n shingles left each, a pair has at most the smaller s in common.
+    return sets.select("id", "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *names)))
+
+
+def bounded_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of a bucket in different components whose sizes and traces allow a link.
+
+    A bucket's members are dealt to blocks of about BLOCK, and blocks meet two by two, so that no task holds a large bucket;
+    within them, each member outside the largest component is held against the others at once.
     """
-    now = buckets.select("key", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    now = written(now, "placed")
+    names = [c for c in rows.columns if c.startswith("bits_")]
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "n", "component", *names)
+
+    def compare(lo: int, hi: int, part: list[np.ndarray]) -> list[np.ndarray]:
+        mine, ids, n, component = part[:4]
+        bits = np.stack(part[4:], axis=1).view(np.uint64)
+        kinds, at, count = np.unique(component, return_inverse=True, return_counts=True)
+        small = at != count.argmax()
+        out = []
+        for i in np.flatnonzero(small).tolist():
+            pick = (component != component[i]) & (~small | (np.arange(len(ids)) > i))
+            if lo != hi:
+                pick &= mine != mine[i]
+            j = np.flatnonzero(pick & near_enough(n, n[i], np.minimum(n, n[i])))
+            if not len(j):
+                continue
+            others = bits[j]
+            most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~others).sum(axis=1, dtype=np.int64), n[j] - np.bitwise_count(others & ~bits[i]).sum(axis=1, dtype=np.int64))
+            j = j[near_enough(n[j], n[i], most)]
+            out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
+        return out
 
-    def open_only(rows: DataFrame) -> DataFrame:
-        ends = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("shortest")).where("lo != hi").drop("lo", "hi")
-        return rows.join(ends, "key")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
-    still = written(open_only(now).drop("shortest"), "open")
-    nodes = written(still.select("id", "component", "n").distinct(), "open_nodes")
-    sets = wanted_sets(docs, nodes.select("id"), size).join(nodes, "id")
+        def closed() -> Iterator[pa.RecordBatch]:
+            part = [np.concatenate(c) for c in zip(*held, strict=True)]
+            found = compare(now[1], now[2], part) if len(part[0]) > 1 else []
+            if found:
+                pairs = np.concatenate(found)
+                yield batch(LINKS, a=pairs[:, 0], b=pairs[:, 1])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shingle", pa.int64()), ("id", pa.int64()), ("component", pa.int64())])
         for b in batches:
-            for one, component, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = np.frombuffer(data, "<i8")
-                yield batch(schema, shingle=s, id=np.full(len(s), one), component=np.full(len(s), component))
-
-    each = written(sets.select("id", "component", "shingles").mapInArrow(spread, "shingle long, id long, component long"), "shingles")
-    shared = each.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
-    left = each.join(shared, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("s"))
-    rows = still.join(left, "id")
-    for _ in range(2):  # nodes that no partner of the bucket can reach, even the shortest
-        rows = written(open_only(rows).where(near_enough(F.col("n"), F.greatest("shortest", "s"), F.col("s"))).drop("shortest"), "open")
-    x, y = rows.select("key", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "s", "component")]), rows.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "s", "component")])
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & near_enough(F.col("n_x"), F.col("n_y"), F.least("s_x", "s_y")))
-    pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            for i, k in zip([0, *change.tolist()], [*change.tolist(), len(cols[0])], strict=True):
+                if i == k:
+                    continue
+                group = (cols[0][i], cols[1][i], cols[2][i])
+                if group != now:
+                    if held:
+                        yield from closed()
+                    now, held = group, []
+                held.append([c[i:k] for c in cols[3:]])
+        if held:
+            yield from closed()
+
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+
+
+def apart(docs: DataFrame, buckets: DataFrame, found: DataFrame, tested: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b) of a bucket that lie in different components, haven't been compared, and can still be linked.
+
+    A bit of one trace that the other lacks stands for a shingle at least that isn't common, so traces bound what two
+    sets have in common from above; pairs that the bound rules out aren't written.
+    """
+    now = written(buckets.select("key", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    ends = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    still = written(now.join(ends, "key", "left_semi"), "open")
+    bits = written(traces(wanted_sets(docs, still.select("id").distinct(), size)), "traces")
+    return bounded_pairs(still.join(bits, "id")).join(tested, ["a", "b"], "left_anti")
 
 
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
