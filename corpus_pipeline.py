@@ -8,6 +8,10 @@ from quire.llm import mixing, neardup, packing, quality, toxicity
 from quire.llm.common import documents, labels, written
 
 
+#: Pieces that a worker keeps while it packs; workers serve all stages, so it is less than for packing alone.
+PIECES_KEPT = 500_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return quality.accepted(docs, labels(spark, sf_dir))
@@ -30,7 +34,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their windows."""
-    return packing.pack(docs)
+    return packing.pack(docs, kept=PIECES_KEPT)
 
 
 STAGES = [

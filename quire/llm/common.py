@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sized
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,23 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Bytes of a batch between Spark and Python; texts are long, and both sides hold a batch or two.
+BATCH_BYTES = 8 << 20
+
+
+def tuned(spark: SparkSession) -> None:
+    """Bounds batches by their bytes, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "64MB") in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+#: glibc's call that returns free memory to the system; other libraries have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -38,6 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, removed when the application ends."""
+    tuned(spark)
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
@@ -58,6 +77,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What workers keep between tasks, by name, with the call that drops it.
+_stores: dict[str, Callable[[], None]] = {}
+
+
+def kept(name: str, held: Sized) -> None:
+    """Names a store of this worker, so that tasks of other operators can drop it."""
+    _stores[name] = lambda: held.clear() if len(held) else None
+
+
+def sole(name: str = "") -> None:
+    """Drops what other operators' tasks have left in a worker that is used again, and gives the memory back."""
+    for other, drop in _stores.items():
+        if other != name:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

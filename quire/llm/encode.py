@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-from quire.llm.common import slices, tokenizer_path
+from quire.llm.common import kept, slices, tokenizer_path
 
 #: Pieces kept by a worker; beyond it the store is emptied, which costs time and changes no result.
 KEPT = 1_200_000
@@ -21,12 +21,14 @@ SPACE = re.compile(r"\s")
 PER_CALL = 256
 
 _encoders: dict[str, "PieceEncoder"] = {}
+kept("encoders", _encoders)
 
 
-def encoder(name: str) -> PieceEncoder:
-    """The worker's encoder, loaded once."""
+def encoder(name: str, most: int = KEPT) -> PieceEncoder:
+    """The worker's encoder, loaded once; it keeps `most` pieces."""
     if name not in _encoders:
         _encoders[name] = PieceEncoder(name)
+    _encoders[name].kept = most
     return _encoders[name]
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, documents, slices, splitmix, words, written
+from quire.llm.common import batch, documents, kept, slices, sole, splitmix, words, written
 from quire.llm.graph import components
 
 #: Words in a shingle for the query, and in the pipeline; links need 100 * intersection >= SHARE * union.
@@ -42,6 +42,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+kept("hashes", _hashes)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -80,6 +81,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, digest, left, right) of every row, from whole texts; an empty set has no digest and no sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("hashes")
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, k in slices(texts):

@@ -15,8 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc, documents, slices, written
-from quire.llm.encode import encoder
+from quire.llm.common import batch, crc, documents, slices, sole, written
+from quire.llm.encode import KEPT, encoder
 
 VOCABULARY, END, WINDOW = "byte_bpe_50k.json", 0, 1024
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
@@ -103,11 +103,12 @@ class Plan:
         return self.to[at] + (nth - (self.starts[at] & ((1 << 50) - 1))), self.offsets[at]
 
 
-def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: int = WINDOW, kept: int = KEPT) -> DataFrame:
     """Full windows and the remainder of each document, numbered within its task by length; texts are encoded once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, tokens = TaskContext.get().partitionId(), [0] * (size + 1), encoder(vocabulary)
+        sole("encoders")
+        part, seen, tokens = TaskContext.get().partitionId(), [0] * (size + 1), encoder(vocabulary, kept)
         stop = np.uint32(end).astype("<u4").tobytes()
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -125,13 +126,14 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long")
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: int = WINDOW, kept: int = KEPT) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row a piece.
 
     A null text is the empty one; it and the empty text are the end id alone. Repeated rows, also with equal ids, are
-    packed one by one; null ids are carried. An empty table gives no piece.
+    packed one by one; null ids are carried. An empty table gives no piece. Workers keep the ids of `kept` pieces between
+    blanks; fewer cost time and change no result.
     """
-    cut = written(pieces(docs, vocabulary, end, size), "pieces")
+    cut = written(pieces(docs, vocabulary, end, size, kept), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = written(counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))), "lengths")

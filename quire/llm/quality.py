@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc_mod, documents, labels, slices, written
+from quire.llm.common import batch, crc_mod, documents, labels, slices, sole, written
 from quire.llm.fit import lasso_logistic
 
 #: Statistics of a text; shares are of its words, lines or bytes, 0 where there are none.
@@ -164,8 +164,13 @@ def accepted(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Data
     ids = F.broadcast(label_sample(labelled, "quality", FOLDS, HELD_OUT, sample).select("doc_id"))  # bounded by `sample`
     rules, bias = fitted(written(with_statistics(docs.join(ids, "doc_id", "left_semi")), "quality"), labelled, sample)
 
+    ready: list[bool] = []
+
     @F.pandas_udf(", ".join(f"{s} double" for s in STATS))
     def stats(texts: pd.Series) -> pd.DataFrame:
+        if not ready:
+            sole()
+            ready.append(True)
         return pd.DataFrame([statistics(t) for t in texts], columns=list(STATS))
 
     held = "_quire_stats"

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, documents, slices, tokenizer_path
+from quire.llm.common import batch, documents, kept, slices, sole, tokenizer_path
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 CHUNK = 256
@@ -240,6 +240,7 @@ class Counter(dict):
 
 
 _machines: dict[str, tuple[SplitTransducer, MergeTransducer, Counter]] = {}
+kept("machines", _machines)
 
 
 def machines(vocabulary: str) -> tuple[SplitTransducer, MergeTransducer, Counter]:
@@ -287,6 +288,7 @@ def with_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMI
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of `docs`; null and empty texts have 0 of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("machines")
         for b in batches:
             texts = b.column(1).to_pylist()
             n = count_tokens(texts, vocabulary)

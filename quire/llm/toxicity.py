@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc_mod, documents, labels, slices, words, written
+from quire.llm.common import batch, crc_mod, documents, labels, slices, sole, words, written
 from quire.llm.fit import lasso_logistic
 from quire.llm.quality import label_sample
 
@@ -241,6 +241,7 @@ def clean(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFra
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def features(texts: pd.Series) -> pd.DataFrame:
         if not grammars:
+            sole()
             grammars.append(Grammar(weights))
         return pd.DataFrame([grammars[0].features(t) for t in texts], columns=list(FEATURES))
 
