@@ -29,7 +29,7 @@ FAN, FILTER_BITS = 64, 1 << 23
 #: Bits of a trace, by which pairs are ruled out ahead of the full comparison.
 TRACE = 2048
 BLOCK = 1024
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
 SETS = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
