@@ -139,6 +139,30 @@ def test_bands_reject_the_odd_one(spark):
     assert not kept[99] and sum(kept.values()) >= 58
 
 
+def test_model_counts_every_text(spark):
+    texts = ["plain words here", "| a | b |\n| # | $ |", "#*$%&|<>", "<p>&amp;</p>", "plain words here", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = Counter()
+    for t in filter(None, texts):
+        want.update((perplexity.fold(t) << perplexity.ORDER * perplexity.BITS | perplexity.ngrams(t)).tolist())
+    assert {r.code: r.n for r in perplexity.ngram_counts(docs).collect()} == dict(want)
+    codes, n = (np.array(list(x)) for x in (want.keys(), want.values()))
+    mask = (1 << perplexity.ORDER * perplexity.BITS) - 1
+    for k, model in enumerate(perplexity.KneserNey.held_out(codes, n)):
+        assert set(model.keys[-1].tolist()) == {c & mask for c in want if c >> perplexity.ORDER * perplexity.BITS != k}
+
+
+def test_bands_keep_common_symbols(spark):
+    from tests.llm.conftest import sentence
+
+    # tables as common as prose are as likely as prose, and prose of strange letters is rejected without any symbol
+    rows = [(i, sentence(60, i).replace(" ", " | ") if i % 2 else sentence(60, i), "de" if i % 2 else "en", "s", 1) for i in range(120)]
+    rows.append((999, " ".join(f"xq{'zjvw'[i % 4]}{'hkqx'[i % 3]}jq" * 2 for i in range(60)), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.kept for r in perplexity.judged(docs).collect()}
+    assert not kept.pop(999) and sum(kept[i] for i in range(1, 120, 2)) >= 54 and sum(kept[i] for i in range(0, 120, 2)) >= 54
+
+
 def test_language_model(odd, empty):
     from tests.llm.conftest import texts_of
 
