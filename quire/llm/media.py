@@ -16,9 +16,9 @@ from quire.llm.common import batch, crc, documents, slices
 
 #: Payloads are padded to a multiple of this, with this byte.
 BLOCK, PAD = 576, b"\xff"
-RATE, FRAME, HOP = 8000, 512, 256
+RATE, FRAME, HOP = 8000, 128, 64
 #: Bins of the spectrum from which one peak a frame is taken, frames ahead in which a peak's partners lie, and frames transformed at once.
-BANDS, AHEAD, AT_ONCE = ((2, 16), (16, 64), (64, 257)), (1, 2), 4096
+BANDS, AHEAD, AT_ONCE = ((1, 4), (4, 16), (16, 65)), (1, 2), 4096
 TAIL = 32
 ROWS = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
@@ -50,7 +50,8 @@ def from_wav(stored: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-_WINDOW = np.hanning(FRAME)
+#: Nowhere 0, so that the first and the last sample count as well.
+_WINDOW = np.hamming(FRAME)
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:

@@ -215,3 +215,10 @@ def test_fingerprint_finds_tones():
     codes = media.fingerprint(tone)
     assert (np.diff(codes) >= 0).all() and set((codes & 255).tolist()) == set(media.AHEAD)
     assert media.fingerprint(tone[: media.FRAME]).tolist() == []
+
+
+def test_short_texts_have_fingerprints():
+    rnd = np.random.default_rng(5)
+    texts = ["", "one", "two words"] + ["".join(rnd.choice(list("abcdefg hij"), n)) for n in (60, 300, 575, 576)]
+    marks = [media.fingerprint(np.frombuffer(media.payload(t)[1], np.uint8)).tolist() for t in texts]
+    assert all(marks) and len(set(map(tuple, marks))) == len(texts)
