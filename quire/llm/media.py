@@ -55,9 +55,11 @@ _WINDOW = np.hamming(FRAME)
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """The strongest bin of each band in each frame of the short-time Fourier transform, shape (frames, bands)."""
+    """The strongest bin of each band in each frame of the short-time Fourier transform, shape (frames, bands).
+
+    Silence is added up to the next full hop, so every sample lies in a frame."""
     x = samples.astype(np.float64) - 128
-    short = max(0, FRAME - len(x))
+    short = FRAME - len(x) if len(x) < FRAME else (FRAME - len(x)) % HOP
     frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, short)), FRAME)[::HOP]
     out = np.empty((len(frames), len(BANDS)), np.int64)
     for i in range(0, len(frames), AT_ONCE):

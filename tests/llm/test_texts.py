@@ -222,3 +222,17 @@ def test_short_texts_have_fingerprints():
     texts = ["", "one", "two words"] + ["".join(rnd.choice(list("abcdefg hij"), n)) for n in (60, 300, 575, 576)]
     marks = [media.fingerprint(np.frombuffer(media.payload(t)[1], np.uint8)).tolist() for t in texts]
     assert all(marks) and len(set(map(tuple, marks))) == len(texts)
+
+
+def test_last_samples_are_read():
+    n = np.arange(4 * media.FRAME)
+    low = (128 + 3 * np.sin(2 * np.pi * 1000 * n / media.RATE)).astype(np.uint8)
+    for more in (media.HOP // 2, media.HOP - 1):
+        tail = low[: len(n) - media.HOP + more].copy()
+        assert len(media.peaks(tail)) == (len(tail) - media.FRAME + media.HOP - 1) // media.HOP + 1
+        other = tail.copy()
+        other[-more:] = np.random.default_rng(4).integers(0, 256, more)
+        assert media.fingerprint(tail).tolist() != media.fingerprint(other).tolist()
+    for blocks in (1, 2, 3):
+        size = blocks * media.BLOCK
+        assert (len(media.peaks(np.zeros(size, np.uint8))) - 1) * media.HOP + media.FRAME >= size
