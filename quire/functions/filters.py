@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 #: Bytes that deflating may cost beyond the plain form and still be taken.
 SLACK = 30
@@ -124,3 +125,20 @@ def unpredict_udf(columns: int):
         return data.map(lambda b: None if b is None else unpredict(bytes(b), 15, columns))
 
     return run
+
+
+def running(data: bytes, kind: int, columns: int, colors: int) -> bytes:
+    """Bytes that are differences under a row filter, summed up over the whole value; a short last row isn't filled up."""
+    rows = np.frombuffer(data + bytes(-len(data) % (columns * colors)), np.uint8).reshape(-1, columns * colors)
+    marked = np.hstack([np.full((len(rows), 1), kind, np.uint8), rows])
+    return unpredict(marked.tobytes(), 15, columns, colors)[: len(data)]
+
+
+def running_digest_udf(kind: int, columns: int, colors: int):
+    """MD5 of the running sums in hexadecimal digits; null for null and for no bytes."""
+
+    @F.pandas_udf(StringType())
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: hashlib.md5(running(bytes(b), kind, columns, colors).hex().upper().encode()).hexdigest() if b else None)
+
+    return run

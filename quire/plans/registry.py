@@ -472,6 +472,17 @@ def png_running_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "i", (sub % 256).cast("int").alias("sub"), (up % 256).cast("int").alias("up"))
 
 
+@query("""WITH b AS (SELECT page_id, regexp_extract_all(hex(encode(html)), '..') AS h FROM pages), e AS (SELECT page_id, unnest(h) AS x, generate_subscripts(h, 1) - 1 AS i FROM b),
+v AS (SELECT page_id, i, ('0x' || x)::BIGINT AS v FROM e), r AS (SELECT page_id, i, (sum(v) OVER (PARTITION BY page_id, i // 48, i % 3 ORDER BY i) % 256)::INT AS sub, (sum(v) OVER (PARTITION BY page_id, i % 48 ORDER BY i) % 256)::INT AS up FROM v),
+d AS (SELECT page_id, md5(string_agg(printf('%02X', sub), '' ORDER BY i)) AS sub, md5(string_agg(printf('%02X', up), '' ORDER BY i)) AS up FROM r GROUP BY page_id)
+SELECT page_id, octet_length(encode(html))::BIGINT AS n_bytes, sub, up FROM pages LEFT JOIN d USING (page_id)""")
+def png_running_sums_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left and up predictors undone over all bytes of every page, as rows of 16 pixels of three bytes; digests of what comes out."""
+    raw = F.col("html").cast("binary")
+    sums = [filters.running_digest_udf(k, 16, 3)(raw).alias(c) for k, c in ((1, "sub"), (2, "up"))]
+    return table(spark, sf_dir, "pages").select("page_id", F.octet_length(raw).cast("long").alias("n_bytes"), *sums)
+
+
 # --- streaming ---
 
 

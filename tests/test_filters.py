@@ -71,3 +71,13 @@ def test_aes_and_rc4_columns(spark):
     assert bytes(row.ok) == crypt.object_key(key, 7, 0, True) and bytes(row.rk) == crypt.object_key(key, 7, 0, False)
     back = df.select(crypt.rc4_udf(crypt.rc4_udf("d", "k"), "k").alias("d")).first()
     assert bytes(back.d) == b"some stream"
+
+
+def test_running_sums_read_every_byte(spark):
+    texts = ["é" * 200 + "tail", "", "abc", "x" * 5000, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[filters.running_digest_udf(k, 16, 3)(F.col("t").cast("binary")).alias(n) for k, n in ((1, "sub"), (2, "up"))])
+    digest = lambda b: hashlib.md5(bytes(b).hex().upper().encode()).hexdigest() if b else None
+    for r in df.collect():
+        b = (r.t or "").encode()
+        assert r.sub == digest([sum(b[j] for j in range(i // 48 * 48, i + 1) if j % 3 == i % 3) % 256 for i in range(len(b))])
+        assert r.up == digest([sum(b[i % 48 : i + 1 : 48]) % 256 for i in range(len(b))])
