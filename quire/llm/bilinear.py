@@ -1,16 +1,18 @@
 """Language-model scores of texts by a log-bilinear model, trained by noise-contrastive estimation.
 
-Words are counted by Spark over all training texts. The most frequent are symbols of their own, the others share a
-symbol by their endings, so a word is a symbol, and its share of the symbol's words. The model gives the next symbol
-from the one before: a context vector, turned by a matrix, times the next symbol's vector, plus a bias. What it learns
-from is the table of all symbol pairs, whose size is fixed; so is that of the matrix of normalised log-probabilities.
-Words too rare to be sent to every task are joined to their counts.
+Words are counted by Spark over all training texts. Each word that occurs often enough is a symbol of its own, so the
+vocabulary grows with the corpus; the others share a symbol by their endings, so such a word is a symbol, and its share
+of the symbol's words. The model gives the next symbol from the two before: their vectors, each turned by the matrix of
+its place, are added up, times the next symbol's vector, plus a bias. It learns from all training texts as they stream
+through the tasks, which tell each symbol from sampled noise; after each round the tasks' moves are added up where a
+symbol is rare and averaged where it is frequent. Scores aren't normalised context by context, as noise contrast makes them
+nearly so; the mean of their sums is taken off. Words too rare to be sent to every task are joined to their counts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -23,13 +25,20 @@ from quire.llm.common import batch, crc_mod, documents, slices, words, written
 
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
-#: Words with a symbol of their own, symbols that the others share, and both with the end of a text.
-OWN, SHARED = 767, 256
-SYMBOLS = OWN + SHARED + 1
+#: Count from which a word has a symbol of its own, and symbols that the others share; the end of a text is the last symbol.
+LEAST, SHARED = 100, 256
 #: Words whose counts go to every task.
 FREQUENT = 100_000
 #: Size of a vector, noise words a pair, steps and their length.
 WIDTH, NOISE, STEPS, RATE = 24, 10, 120, 0.05
+#: Symbols before the next one, symbols and noise words of a step, and its length.
+CONTEXT, PAIRS, SAMPLED, STREAM_RATE = 2, 512, 64, 0.3
+#: How often a task meets a symbol, up to which the tasks' moves are added up.
+FEW = 30
+#: Symbols to learn from, at least, for which texts are read again, and rounds, at most.
+ENOUGH, ROUNDS = 20_000_000, 6
+#: Contexts whose sums are taken for the mean.
+PROBES = 256
 END = b""
 COUNTED = 250_000
 ROWS = pa.schema([
@@ -73,13 +82,13 @@ class Symbols(dict):
 
     def __init__(self, own: dict[bytes, int]):
         super().__init__(own)
-        self.own = own
+        self.own, self.first = own, len(own) - 1
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 300_000 + len(self.own):
             self.clear()
             self.update(self.own)
-        s = self[word] = OWN + ending(word)
+        s = self[word] = self.first + ending(word)
         return s
 
 
@@ -99,33 +108,31 @@ def most_frequent(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes,
     return sorted(zip(found["word"], found["c"], strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def own_symbols(frequent: list[tuple[bytes, int]]) -> dict[bytes, int]:
-    out = {w: k for k, (w, _) in enumerate([x for x in frequent if x[0] != END][:OWN])}
-    return out | {END: SYMBOLS - 1}
+def own_words(counts: DataFrame, least: int = LEAST) -> list[tuple[bytes, int]]:
+    """All words that occur at least so often, and their counts; at most the corpus' words / `least`."""
+    found = counts.where(F.col("c") >= least).toArrow().to_pydict()
+    return sorted(zip(found["word"], found["c"], strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def pair_counts(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
-    """How often each symbol follows each other in the training texts; a text starts after an end."""
+def own_symbols(often: list[tuple[bytes, int]]) -> dict[bytes, int]:
+    """Words to symbols; symbols that others share come after them, and the end of a text last."""
+    out = {w: k for k, (w, _) in enumerate(x for x in often if x[0] != END)}
+    return out | {END: len(out) + SHARED}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, seen = Symbols(own), np.zeros(SYMBOLS * SYMBOLS, np.int64)
-        last = SYMBOLS - 1
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, k in slices(texts):
-                line = [last]
-                for t in texts[i:k]:
-                    line += map(symbol.__getitem__, words(t))
-                    line.append(last)
-                at = np.array(line, np.int64)
-                seen += np.bincount(at[:-1] * SYMBOLS + at[1:], minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["pair", "n"])
 
-    rows = training(docs).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # SYMBOLS ** 2 at most
-    out = np.zeros(SYMBOLS * SYMBOLS)
-    out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    return out.reshape(SYMBOLS, SYMBOLS)
+def contexts(found: list[list[int]], last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' symbols, each ending in `last`, as (symbols before, nearest first; next symbols); a text starts after ends."""
+    line, sizes = [], []
+    for x in found:
+        line += [last] * CONTEXT
+        line += x
+        sizes.append(CONTEXT + len(x))
+    at, keep = np.array(line, np.int64), np.ones(len(line), bool)
+    starts = np.cumsum(sizes) - sizes
+    for k in range(CONTEXT):
+        keep[starts + k] = False
+    here = np.flatnonzero(keep)
+    return np.stack([at[here - k - 1] for k in range(CONTEXT)], axis=1), at[here]
 
 
 class LogBilinear:
@@ -177,6 +184,142 @@ class LogBilinear:
         return ((z - np.log(np.exp(z).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
 
 
+class Streamed:
+    """score(next, before) = next vector . sum of (before vector @ matrix of its place) + bias, learned from a stream."""
+
+    def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 3):
+        rnd = np.random.default_rng(seed)
+        self.unigram = unigram
+        self.before = rnd.normal(0, 0.3, (len(unigram), width)).astype(np.float32)
+        self.turn = np.stack([np.eye(width, dtype=np.float32) / (1 + k) for k in range(CONTEXT)])
+        self.next = np.zeros((len(unigram), width), np.float32)
+        self.bias = np.log(unigram).astype(np.float32)
+        self.shift = 0.0
+
+    def start(self, seed: int, tokens: int) -> None:
+        """Makes ready to learn in a task. Sums of squared slopes start with their share of what all tokens will add, or
+        rare symbols, whose noise comes seldom and in lumps, would rise too far before it."""
+        self.rnd, self.ladder, self.noise = np.random.default_rng(seed), np.cumsum(self.unigram), np.log(SAMPLED * self.unigram).astype(np.float32)
+        times = tokens * self.unigram
+        due = 0.3 * times * (1 + SAMPLED * PAIRS / (SAMPLED + 1) ** 2)
+        self.squares = [x.astype(np.float32) for x in (0.05 + 0.01 * times, 1 + 0.2 * due, 1 + due)] + [np.full_like(self.turn, 1.0)]
+        self.met = np.zeros(len(self.unigram), bool)
+
+    def _move(self, rows: np.ndarray, slopes: np.ndarray, table: np.ndarray, squares: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        at = rows[order]
+        edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        g, at = np.add.reduceat(slopes[order], edge, axis=0), at[edge]
+        squares[at] += g**2 if g.ndim == 1 else (g**2).mean(axis=1)
+        size = STREAM_RATE / np.sqrt(squares[at])
+        table[at] -= size * g if g.ndim == 1 else size[:, None] * g
+
+    def learn(self, before: np.ndarray, following: np.ndarray) -> None:
+        """Tells the symbols of each step from noise words drawn for it by frequency."""
+        self.met[following] = True
+        for i in range(0, len(following), PAIRS):
+            c, t = before[i : i + PAIRS], following[i : i + PAIRS]
+            n = np.minimum(np.searchsorted(self.ladder, self.rnd.random(SAMPLED) * self.ladder[-1]), len(self.ladder) - 1)
+            self.met[n] = True
+            r = [self.before[c[:, k]] for k in range(CONTEXT)]
+            q = sum(x @ m for x, m in zip(r, self.turn, strict=True))
+            own, other = self.next[t], self.next[n]
+            gt = 1 / (1 + np.exp(-np.clip((q * own).sum(axis=1) + self.bias[t] - self.noise[t], -30, 30))) - 1
+            gn = 1 / (1 + np.exp(-np.clip(q @ other.T + self.bias[n] - self.noise[n], -30, 30)))
+            gq = gt[:, None] * own + gn @ other
+            back = [gq @ m.T for m in self.turn]
+            g = np.stack([x.T @ gq for x in r])
+            self.squares[3] += g**2
+            rows = np.concatenate([t, n])
+            self._move(rows, np.concatenate([gt[:, None] * q, gn.T @ q]), self.next, self.squares[1])
+            self._move(rows, np.concatenate([gt, gn.sum(axis=0)]), self.bias, self.squares[2])
+            self._move(c.T.ravel(), np.concatenate(back), self.before, self.squares[0])
+            self.turn -= STREAM_RATE / 2 * g / np.sqrt(self.squares[3])
+
+    def rows(self) -> np.ndarray:
+        return np.hstack([self.before, self.next, self.bias[:, None]])
+
+    def level(self, before: np.ndarray) -> None:
+        """Takes off the mean of the log sums over all symbols after some contexts."""
+        q = sum(self.before[before[:, k]] @ self.turn[k] for k in range(CONTEXT))
+        sums = []
+        for i in range(0, len(q), 16):
+            z = q[i : i + 16] @ self.next.T + self.bias
+            top = z.max(axis=1)
+            sums += (top + np.log(np.exp(z - top[:, None]).sum(axis=1))).tolist()
+        self.shift = float(np.mean(sums)) if sums else 0.0
+
+    def log10(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function from symbols before and next symbols to log10 probabilities."""
+        turned = [self.before @ m for m in self.turn]
+
+        def run(before: np.ndarray, following: np.ndarray) -> np.ndarray:
+            out = np.empty(len(following))
+            for i in range(0, len(out), 1 << 16):
+                c, t = before[i : i + (1 << 16)], following[i : i + (1 << 16)]
+                q = sum(x[c[:, k]] for k, x in enumerate(turned))
+                out[i : i + (1 << 16)] = np.einsum("ij,ij->i", q, self.next[t]) + self.bias[t]
+            return np.minimum((out - self.shift) / np.log(10), 0.0)
+
+        return run
+
+
+def trained(docs: DataFrame, own: dict[bytes, int], unigram: np.ndarray, tokens: int) -> Streamed:
+    """The model after all training texts have streamed through it, once, or in some rounds if they are few."""
+    model, last = Streamed(unigram), len(unigram) - 1
+    if not tokens:
+        return model
+    texts = training(docs)
+
+    def shard(at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["id", "row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol = Symbols(own)
+        model.start(1000 * TaskContext.get().partitionId() + turn, tokens)
+        first, matrices = model.rows(), model.turn.copy()
+        seen = np.zeros((0, CONTEXT), np.int64)
+        for b in batches:
+            found = b.column(0).to_pylist()
+            for i, k in slices(found):
+                before, following = contexts([[*map(symbol.__getitem__, words(t)), last] for t in found[i:k]], last)
+                model.learn(before, following)
+                seen = model.rnd.permutation(np.concatenate([seen, before[model.rnd.integers(0, len(before), PROBES)]]))[:PROBES]
+        at = np.flatnonzero(model.met)
+        if len(at):
+            moved = model.rows() - first
+            for i in range(0, len(at), 8192):
+                yield shard(at[i : i + 8192], moved[at[i : i + 8192]])
+            yield shard(np.array([-1]), np.append((model.turn - matrices).ravel(), 1)[None, :])
+            yield shard(np.array([-2 - TaskContext.get().partitionId()]), seen.reshape(1, -1))  # whole numbers up to 2 ** 24
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for key, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(row, "<f4")
+                total[key] = total[key] + x if key in total else x
+        keys = list(total)
+        for i in range(0, len(keys), 8192):
+            yield shard(np.array(keys[i : i + 8192]), [total[k] for k in keys[i : i + 8192]])
+
+    kind, width = "id long, row binary", model.before.shape[1]
+    for turn in range(max(1, min(ROUNDS, -(-ENOUGH // tokens)))):
+        found = texts.mapInArrow(run, kind).repartition("id").mapInArrow(added, kind).toArrow().to_pydict()  # a row a symbol
+        moves = dict(zip(found["id"], found["row"], strict=True))
+        matrices = np.frombuffer(moves.pop(-1), "<f4")
+        tasks = matrices[-1]
+        model.turn = model.turn + matrices[:-1].reshape(model.turn.shape) / tasks
+        probes = np.concatenate([np.frombuffer(moves.pop(key), "<f4").reshape(-1, CONTEXT) for key in sorted(moves) if key < -1]).astype(np.int64)
+        at = np.fromiter(moves.keys(), np.int64, len(moves))
+        x = np.stack([np.frombuffer(r, "<f4") for r in moves.values()]) / np.clip(tokens * unigram[at] / tasks / FEW, 1, tasks)[:, None].astype(np.float32)
+        model.before[at] += x[:, :width]
+        model.next[at] += x[:, width : 2 * width]
+        model.bias[at] += x[:, -1]
+    model.level(probes[np.random.default_rng(7).integers(0, len(probes), 2 * PROBES)])
+    return model
+
+
 def class_masses(counts: DataFrame, own: dict[bytes, int]) -> np.ndarray:
     """Smoothed counts of the words that share each symbol, with one unseen word each."""
 
@@ -205,10 +348,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """
     counts = written(word_counts(docs), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = most_frequent(counts)
-    own = own_symbols(frequent)
-    table = LogBilinear(SYMBOLS).fit(pair_counts(docs, own)).log10()
-    share = np.log10(class_masses(counts, own))
+    frequent, often = most_frequent(counts), own_words(counts)
+    frequent = max(frequent, often, key=len)  # both are the words above some count
+    own = own_symbols(often)
+    masses, alone = class_masses(counts, own), len(own) - 1
+    weights = np.concatenate([[c for w, c in often if w != END], masses, [dict(often).get(END) or dict(frequent).get(END, 1)]]).astype(float)
+    net = trained(docs, own, weights / weights.sum(), total["n"])
+    share = np.log10(masses)
     whole = np.log10(total["n"] + SMOOTH * (total["v"] + 1))
     held = {w: float(np.log10(c + SMOOTH)) for w, c in frequent}
     held.setdefault(END, float(np.log10(SMOOTH)))
@@ -216,26 +362,26 @@ def score_texts(docs: DataFrame) -> DataFrame:
         held = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, last, row = Symbols(own), SYMBOLS - 1, TaskContext.get().partitionId() << 40
-        flat, get = table.ravel(), held.get
+        symbol, last, row = Symbols(own), alone + SHARED, TaskContext.get().partitionId() << 40
+        chances, get = net.log10(), held.get
         for b in batches:
             keys, texts, out = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             for i, k in slices(texts):
-                line, sizes, made = [last], [], []
+                line, sizes, made = [], [], []
                 for key, text, fold in zip(keys[i:k], texts[i:k], out[i:k], strict=True):
                     found = words(text)
                     found.append(END)
-                    line += map(symbol.__getitem__, found)
+                    line.append(list(map(symbol.__getitem__, found)))
                     sizes.append(len(found))
                     logs = list(map(get, found))
                     rare = Counter(w for w, x in zip(found, logs, strict=True) if x is None)
                     made.append((row, key, fold, len(found), len(found) - rare.total(), logs, list(rare.keys()), list(rare.values())))
                     row += 1
-                at = np.array(line, np.int64)
-                step = flat[at[:-1] * SYMBOLS + at[1:]].astype(np.float64)
+                before, at = contexts(line, last)
+                step = chances(before, at)
                 logs = np.array([0.0 if x is None else x for m in made for x in m[5]])
-                tail = (at[1:] >= OWN) & (at[1:] < last)
-                step[tail] += logs[tail] - share[at[1:][tail] - OWN]
+                tail = (at >= alone) & (at < last)
+                step[tail] += logs[tail] - share[at[tail] - alone]
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
                 base, model = np.add.reduceat(logs, starts), np.add.reduceat(step, starts)

@@ -178,6 +178,28 @@ def test_language_model(odd, empty):
     assert all(r.train_tokens == total and r.score < 0 and r.held_out == (zlib.crc32(key(r.doc_id).encode()) % 10 == 0) for r in rows)
 
 
+def test_vocabulary_grows_and_rare_contexts_count(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    stem = lambda i: f"w{i}x"
+    # 1500 words, each of which is mostly followed by a partner of its own; all endings are alike
+    texts = [" ".join(f"{stem(i)} {stem(i ^ 1)}" for i in rnd.integers(0, 1500, 300)) for _ in range(500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = bilinear.word_counts(docs)
+    often = bilinear.own_words(counts)
+    assert len(often) == counts.where(f"c >= {bilinear.LEAST}").count() > 1400
+    own = bilinear.own_symbols(often)
+    assert sorted(set(own.values()) - {own[b""]}) == list(range(len(own) - 1)) and own[b""] == len(own) - 1 + bilinear.SHARED
+    monkeypatch.setattr(bilinear, "ENOUGH", 3_000_000)
+    out = bilinear.score_texts(docs).where("held_out").toPandas()
+    assert (out.score.sum() - out.base_score.sum()) / out.n_tokens.sum() > 0.3
+
+
+def test_contexts_stay_in_a_text():
+    before, following = bilinear.contexts([[4, 5, 9], [9], [6, 9]], 9)
+    assert following.tolist() == [4, 5, 9, 9, 6, 9]
+    assert before.tolist() == [[9, 9], [4, 9], [5, 4], [9, 9], [9, 9], [6, 9]]
+
+
 def test_model_is_normalised_and_learns():
     rnd = np.random.default_rng(3)
     pairs = np.zeros((30, 30))
