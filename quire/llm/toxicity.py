@@ -41,6 +41,8 @@ STRIP = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 ENDS = (b".", b",", b";", b":", b"!", b"?")
 #: Words after a negation that it still reaches.
 REACH = 3
+#: Places of a mention among the features, the weakest first: negated, reported, plain, targeted.
+STRENGTH = (3, 4, 0, 1)
 FEATURES = ("plain", "targeted", "threats", "negated", "reported", "strongest", "density")
 ROWS = pa.schema([("doc_id", pa.int64())] + [(f, pa.float64()) for f in FEATURES])
 TERMS = pa.schema([("term", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
@@ -103,7 +105,7 @@ class Grammar:
         found = words(text)
         kinds = self.known
         hits = [i for i, w in enumerate(found) if (kinds.get(w) or self.kind(w))[0] in (INSULT, THREAT)]
-        out, last, heard = [0.0] * len(FEATURES), -1, set()
+        out, last, heard = [0.0] * len(FEATURES), -1, {}
         for i in hits:
             if i <= last:
                 continue
@@ -117,25 +119,27 @@ class Grammar:
         out[6] = (out[0] + out[1] + out[3] + out[4]) / (1 + len(found)) ** 0.5
         return tuple(out)
 
-    def _clause(self, clause: list[bytes], out: list[float], heard: set[bytes]) -> None:
-        """Adds a clause's weights; an insult that the text has used before adds nothing."""
-        state, plain, denied = (0, 0, 0, 0, 0), 0.0, 0.0
+    def _clause(self, clause: list[bytes], out: list[float], heard: dict[bytes, tuple[int, int]]) -> None:
+        """Adds a clause's weights. An insult counts once in a text, as what its strongest mention makes it: a later, stronger
+        mention takes the place of a weaker one, and another adds nothing."""
+        state, said = (0, 0, 0, 0, 0), []
         for w in clause:
             kind, weight = self.kind(w)
             if kind == INSULT:
-                core = w.strip(STRIP)
-                weight = 0.0 if core in heard else weight
-                heard.add(core)
-            if kind == INSULT and state[3]:
-                denied += weight
-            elif kind == INSULT:
-                plain += weight
+                said.append((w.strip(STRIP), weight, state[3] > 0))
             state = self.step(state, kind)
-        insult, threat, target, _, report = state
-        whole = plain + 0.3 * denied
-        if insult:
-            out[4 if report else 1 if target else 0] += plain
-            out[3] += denied
+        _, threat, target, _, report = state
+        whole = 0.0
+        for core, weight, denied in said:
+            at = 3 if denied else 4 if report else 1 if target else 0
+            rank, before = STRENGTH.index(at), heard.get(core)
+            if before is not None and before[0] >= rank:
+                continue
+            if before is not None:
+                out[before[1]] -= weight
+            heard[core] = (rank, at)
+            out[at] += weight
+            whole += 0.3 * weight if denied else weight
         if threat and target and not report:
             out[2] += 1.0
             whole += 0.5

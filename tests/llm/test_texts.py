@@ -30,6 +30,16 @@ def test_clauses():
     assert g.features(None) == g.features("") == g.features("nothing here") == (0.0,) * 7
 
 
+def test_later_direct_insult_counts():
+    g = toxicity.Grammar({b"scum": 1.0})
+    f = lambda t: dict(zip(toxicity.FEATURES, g.features(t), strict=True))
+    for first, was in (("she wrote scum.", "reported"), ("it is not scum.", "negated"), ("it is scum.", "plain")):
+        both = f(f"{first} you are scum.")
+        assert f(first)[was] == 1 and both["targeted"] == 1 and both[was] == 0 and both["strongest"] == f("you are scum.")["strongest"]
+        again = f(f"you are scum. {first}")
+        assert again["targeted"] == 1 and again[was] == 0  # a weaker mention adds nothing
+
+
 @pytest.mark.parametrize("which", ["odd", "empty"])
 def test_toxicity_odd(request, labelled, no_labels, which):
     docs = request.getfixturevalue(which)
