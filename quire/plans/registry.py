@@ -217,6 +217,15 @@ def trivial_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).where(~layout.trivial(F.col("s")))
 
 
+@query("""SELECT doc_id, part, s FROM (SELECT doc_id, 'text' AS part, text AS s FROM documents UNION ALL SELECT doc_id, 'form', 'q 1 0 0 1 ' || doc_id || ' 0 cm /Fm0 Do Q' FROM documents UNION ALL SELECT doc_id, 'image', 'q /Im' || doc_id || ' Do Q' FROM documents)
+  WHERE NOT (length(s) < 300 AND len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '' AND NOT (w IN ('q', 'Q', 'cm', 'Do') OR w LIKE '/%' OR regexp_full_match(w, '[+-]?[0-9.]+')))) = 0)""")
+def trivial_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts, beside two made-up streams a document."""
+    made = {"text": F.col("text"), "form": F.concat(F.lit("q 1 0 0 1 "), "doc_id", F.lit(" 0 cm /Fm0 Do Q")), "image": F.concat(F.lit("q /Im"), "doc_id", F.lit(" Do Q"))}
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), v.alias("s")) for k, v in made.items()])).alias("x")
+    return table(spark, sf_dir, "documents").select("doc_id", parts).select("doc_id", "x.part", "x.s").where(~layout.trivial(F.col("s")))
+
+
 @query(f"SELECT p_partkey, 612.0::DOUBLE AS page_width, height * 540.0::DOUBLE / width + 72.0::DOUBLE AS page_height, 'q 540 0 0 ' || rtrim(rtrim(printf('%.9f', height * 540.0::DOUBLE / width), '0'), '.') || ' 36 36 cm /MyImage Do Q' AS content FROM {SIZED}")
 def fragment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h, c = layout.fragment_page(F.col("width"), F.col("height"), 612, 36)
@@ -296,11 +305,15 @@ def inheritable(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey IN (FROM o))
 SELECT 'c' || c_custkey AS node FROM c UNION ALL SELECT 'o' || o_orderkey FROM o UNION ALL SELECT 'p' || l_partkey FROM p""")
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reached(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 50 = 0"))
+
+
+def reached(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     down = o.select(text("c", "o_custkey").alias("src"), text("o", "o_orderkey").alias("dst"))
     down = down.union(line.join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(text("o", "l_orderkey"), text("p", "l_partkey")))
-    roots = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(text("c", "c_custkey").alias("node"))
+    roots = customers.select(text("c", "c_custkey").alias("node"))
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
@@ -308,6 +321,13 @@ def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(down, roots)
 
 
+@query("""WITH o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)), p AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey IN (FROM o))
+SELECT 'c' || c_custkey AS node FROM customer UNION ALL SELECT 'o' || o_orderkey FROM o UNION ALL SELECT 'p' || l_partkey FROM p""")
+def reachable_objects_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure from all customers."""
+    return reached(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
 @query("SELECT l_orderkey, count(*) AS members, min(l_linenumber) AS first_member, max(l_linenumber) AS last_member FROM lineitem GROUP BY l_orderkey")
 def objstm_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.containers(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")

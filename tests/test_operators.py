@@ -1,3 +1,5 @@
+import pytest
+import os
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
@@ -107,3 +109,15 @@ def test_streams(spark, tmp_path):
         (tmp_path / "in" / "3.pdf").write_bytes(from_pages([{}] * 3))
     batch = pdf.documents(pdf.files(spark, f"file://{tmp_path}/in"))
     assert rows(batch, "num_pages") == rows(spark.read.parquet(f"file://{tmp_path}/out"), "num_pages") == [(1,), (2,), (3,)]
+
+
+def test_whole_tables_are_read(spark):
+    from quire.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the tables aren't here")
+    nodes = {r.node for r in registry.QUERIES["reachable_objects_whole"](spark, folder).collect()}
+    assert {f"c{r.c_custkey}" for r in registry.table(spark, folder, "customer").collect()} <= nodes
+    given = {(r.doc_id, r.text) for r in registry.table(spark, folder, "documents").collect() if len(r.text or "") >= 300}
+    assert given <= {(r.doc_id, r.s) for r in registry.QUERIES["trivial_filter_whole"](spark, folder).where("part = 'text'").collect()}
