@@ -1,5 +1,6 @@
-import pytest
 import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
