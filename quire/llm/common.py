@@ -8,6 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Callable, Iterator, Sized
 
@@ -74,7 +75,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a written table: later stages reread it instead of computing it again, also after an executor is lost."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (weakref.ref(out, lambda _, k=id(out): _tables.pop(k, None)), path)
+    return out
+
+
+#: Where written frames lie, for as long as they are referred to.
+_tables: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the tables of written frames, once all that is made of them has been written as well."""
+    for df in frames:
+        if held := _tables.pop(id(df), None):
+            remove(df.sparkSession, held[1])
 
 
 #: What workers keep between tasks, by name, with the call that drops it.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import forget, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -29,5 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
         new = written(small.where("u != v").distinct(), "edges")
         if new.exceptAll(edges).isEmpty() and new.count() == edges.count():
+            forget(edges)
             return new.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        forget(edges)
         edges = new

@@ -2,9 +2,12 @@
 
 A document has two collections of small sketches. A table key is a pair with one sketch from each, so m + m sketches
 give m * m keys, and about a square root of the usual number of minhashes is computed. Texts with equal sets are one
-node from the start. In a bucket of equal keys only pairs with the bucket's first node are compared at first; once these
-links have made components, pairs of a bucket that are still apart are compared too, but for those that an exact bound
-on their common shingles rules out. So no link between nodes that share a key is lost, and no group is paired in full.
+node from the start. A node whose left sketch no other node has gives no keys for it.
+
+The first node of a bucket of equal keys is its hub. Nodes are compared with the hubs of their buckets, so there is a pair
+for each hub of a node, not for each two nodes of a bucket. Two nodes of a bucket have its hub in common; so once these
+links have made components, the nodes around each hub that are still apart are compared as well, by their differences
+from the hub's set, and only links that join two components are written. No link between nodes that share a key is lost.
 """
 
 from __future__ import annotations
@@ -17,18 +20,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, documents, kept, slices, sole, splitmix, words, written
+from quire.llm.common import batch, documents, forget, kept, slices, sole, splitmix, words, written
 from quire.llm.graph import components
 
 #: Words in a shingle for the query, and in the pipeline; links need 100 * intersection >= SHARE * union.
 SHINGLE, STAGE_SHINGLE, SHARE = 2, 5, 80
-#: Sketches in each of the two collections, and minhashes in a sketch. At a similarity of 0.8 a pair shares a key but for 7 in 100,000.
-SKETCHES, DEPTH = 10, 2
+#: Sketches in each of the two collections, and minhashes in a sketch. At a similarity of 0.8 a pair shares a key but for 5 in 100,000.
+SKETCHES, DEPTH = 20, 4
 #: Members that are compared with one copy of their hub's set, and bits of the filter for documents that are asked for.
 FAN, FILTER_BITS = 64, 1 << 23
-#: Bits of a trace, by which pairs are ruled out ahead of the full comparison.
-TRACE = 2048
-BLOCK = 1024
+#: Nodes around a hub that one task holds while others are held against them, and shingles of theirs.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
 WORDS_KEPT = 150_000
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
 SETS = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
@@ -123,6 +125,7 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     packed = np.packbits(bits).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("hashes")
         asked = np.unpackbits(np.frombuffer(packed, np.uint8))
         for b in batches:
             at = b.column(2).to_numpy(zero_copy_only=False)
@@ -170,7 +173,25 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
             yield batch(LINKS, a=[x for x, _ in found], b=[x for _, x in found])
 
     met = asked.join(sets, "id").select("a", "part", "kind", "id", "shingles")
-    return written(met.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(run, "a long, b long"), "links")
+    out = written(met.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(run, "a long, b long"), "links")
+    forget(pairs)
+    return out
+
+
+def stars(nodes: DataFrame) -> DataFrame:
+    """(hub, id): each node beside the smallest node of every bucket that it lies in, once.
+
+    Left sketches are counted first: keys are only made of those that two nodes have.
+    """
+    lefts = nodes.select("id", F.posexplode("left").alias("i", "l"))
+    shared = lefts.groupBy("i", "l").agg(F.count("*").alias("c")).where("c > 1").select("i", "l")
+    alive = lefts.join(shared, ["i", "l"]).select("id", "i", "l").join(nodes.select("id", "right"), "id")
+    keys = alive.select("id", "i", "l", F.posexplode("right").alias("j", "r")).select(F.xxhash64("i", "l", "j", "r").alias("key"), "id")
+    keys = written(keys, "keys")
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+    out = written(keys.join(hubs, "key").where("id != hub").select("hub", "id").distinct(), "stars")
+    forget(keys)
+    return out
 
 
 def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -183,116 +204,132 @@ def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     sig = written(signed(docs, size), "signed")
     nodes = sig.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
     nodes = written(nodes, "nodes")
-    keys = nodes.select("id", "n", F.posexplode("left").alias("i", "l"), "right").select("id", "n", "i", "l", F.posexplode("right").alias("j", "r"))
-    keys = keys.select(F.xxhash64("i", "l", "j", "r").alias("key"), "id", "n")
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    buckets = written(keys.join(hubs, "key"), "buckets")
-    first = buckets.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").distinct()
-    first = first.join(nodes.select(F.col("id").alias("a"), F.col("n").alias("m")), "a").where(near_enough(F.col("n"), F.col("m"), F.least("n", "m")))
-    first = written(first.select("a", "b").distinct(), "first")
+    around = stars(nodes)
+    sizes = nodes.groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))  # one id may have several texts
+    first = around.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("least").alias("low"), F.col("most").alias("high")), "hub")
+    near = near_enough(F.col("least"), F.col("low"), F.least("most", "high"))
     # rows of one id with different texts are one node already
     same = sig.where("doc_id IS NOT NULL AND n_shingles > 0").join(nodes.select("digest", "id"), "digest").where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     several = sig.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.countDistinct("digest").alias("texts")).where("texts > 1").select(F.col("doc_id").alias("b"))
-    links = verified(docs, first, size).unionByName(same.join(several, "b", "left_semi").select("a", "b"))
-    found = written(components(links), "components")
-    rest = apart(docs, buckets, found, first, size)
-    more = verified(docs, rest, size)
+    checked = verified(docs, first.where(near).select(F.col("hub").alias("a"), F.col("id").alias("b")), size)
+    found = written(components(checked.unionByName(same.join(several, "b", "left_semi").select("a", "b"))), "components")
+    more = apart(docs, around, sizes, found, size)
     if not more.isEmpty():
         star = found.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-        found = written(components(star.unionByName(more)), "components")
+        last = written(components(star.unionByName(more)), "components")
+        forget(found)
+        found = last
+    forget(checked, more, around)
     of = nodes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("of_set"))
-    out = sig.join(of, "digest", "left").withColumn("component_id", F.coalesce("of_set", "doc_id"))
+    out = sig.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").withColumn("component_id", F.coalesce("of_set", "doc_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def traces(sets: DataFrame) -> DataFrame:
-    """(id, bits_0, bits_1, ...): the places of a set's shingles among TRACE bits."""
-    names = [f"bits_{k}" for k in range(TRACE // 64)]
-    schema = pa.schema([("id", pa.int64())] + [(c, pa.int64()) for c in names])
+class Held:
+    """The nodes around a hub that a task holds, by their differences from the hub's set.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = b.column(1).to_pylist()
-            on = np.zeros((len(found), TRACE), bool)
-            for row, data in zip(on, found, strict=True):
-                row[(np.frombuffer(data, "<u8") % np.uint64(TRACE)).astype(np.int64)] = True
-            bits = np.packbits(on, axis=1).view(np.int64)
-            yield batch(schema, id=b.column(0), **{c: bits[:, k] for k, c in enumerate(names)})
+    Sets a and b have |a| + |b| - 2 * common shingles that aren't common, and these are what their differences from any
+    third set don't share. Near copies differ from their hub in few shingles, so few are held and counted.
+    """
 
-    return sets.select("id", "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *names)))
+    def __init__(self, hub: np.ndarray):
+        self.hub, self.rows, self.parts = hub, [], []
+
+    def add(self, id_: int, component: int, main: bool, shingles: np.ndarray) -> None:
+        self.rows.append((id_, component, main, len(shingles)))
+        self.parts.append(np.setxor1d(shingles, self.hub, assume_unique=True))
+
+    def close(self) -> None:
+        ids, components_, main, n = zip(*self.rows, strict=True) if self.rows else ((), (), (), ())
+        self.ids, self.main, self.n = np.array(ids, np.int64), np.array(main, bool), np.array(n, np.int64)
+        self.labels: dict[int, int] = {}
+        self.parent: list[int] = []
+        self.root = np.array([self._label(c) for c in components_], np.int64)
+        self.far = np.array(list(map(len, self.parts)), np.int64)
+        every = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.owner = np.repeat(np.arange(len(self.parts)), self.far)[order]
+        every = every[order]
+        self.starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        self.shingles, self.starts = every[self.starts], np.append(self.starts, len(every))
+        self.parts = []
+
+    def _label(self, component: int) -> int:
+        at = self.labels.setdefault(component, len(self.parent))
+        if at == len(self.parent):
+            self.parent.append(at)
+        while self.parent[at] != at:
+            at = self.parent[at]
+        return at
+
+    def links(self, id_: int, component: int, shingles: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a node with held ones, as far as they join two components. Of two nodes outside the hub's largest
+        component, each is held somewhere and asks everywhere, and the smaller id's question counts."""
+        mine, n = self._label(component), len(shingles)
+        open_ = (self.root != mine) & (self.main | (self.ids > id_))
+        if not open_.any():
+            return []
+        own = np.setxor1d(shingles, self.hub, assume_unique=True)
+        at = np.minimum(np.searchsorted(self.shingles, own), max(len(self.shingles) - 1, 0))
+        at = at[self.shingles[at] == own] if len(self.shingles) else at[:0]
+        sizes = self.starts[at + 1] - self.starts[at]
+        places = np.repeat(self.starts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        shared = np.bincount(self.owner[places], minlength=len(self.ids))
+        different = len(own) + self.far - 2 * shared
+        out = []
+        for k in np.flatnonzero(open_ & near_enough(self.n, n, (self.n + n - different) // 2)).tolist():
+            if self.root[k] != mine:
+                out.append((id_, int(self.ids[k])))
+                old = self.root[k]
+                self.parent[old] = mine
+                self.root[self.root == old] = mine
+        return out
 
 
-def bounded_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of a bucket in different components whose sizes and traces allow a link.
+def apart(docs: DataFrame, around: DataFrame, sizes: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) between nodes around one hub that lie in different components, as far as they join components.
 
-    A bucket's members are dealt to blocks of about BLOCK, and blocks meet two by two, so that no task holds a large bucket;
-    within them, each member outside the largest component is held against the others at once.
+    Nodes around a hub are dealt to blocks, bounded by their number and their shingles. A node outside the largest
+    component among them asks in every block; those inside it are held in one block each and don't ask.
     """
-    names = [c for c in rows.columns if c.startswith("bits_")]
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rows.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "n", "component", *names)
-
-    def compare(lo: int, hi: int, part: list[np.ndarray]) -> list[np.ndarray]:
-        mine, ids, n, component = part[:4]
-        bits = np.stack(part[4:], axis=1).view(np.uint64)
-        kinds, at, count = np.unique(component, return_inverse=True, return_counts=True)
-        small = at != count.argmax()
-        out = []
-        for i in np.flatnonzero(small).tolist():
-            pick = (component != component[i]) & (~small | (np.arange(len(ids)) > i))
-            if lo != hi:
-                pick &= mine != mine[i]
-            j = np.flatnonzero(pick & near_enough(n, n[i], np.minimum(n, n[i])))
-            if not len(j):
-                continue
-            others = bits[j]
-            most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~others).sum(axis=1, dtype=np.int64), n[j] - np.bitwise_count(others & ~bits[i]).sum(axis=1, dtype=np.int64))
-            j = j[near_enough(n[j], n[i], most)]
-            out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
-        return out
+    placed = around.join(found, "id", "left").join(sizes.select("id", "most"), "id").select("hub", "id", "most", F.coalesce("component", "id").alias("component"))
+    placed = written(placed, "placed")
+    kinds = placed.groupBy("hub", "component").agg(F.count("*").alias("nodes"), F.sum("most").alias("most"))
+    open_ = kinds.groupBy("hub").agg(F.max(F.struct("nodes", "component"))["component"].alias("main"), F.sum("nodes").alias("nodes"), F.sum("most").alias("most"), F.count("*").alias("kinds"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK, F.col("most") / BLOCK_SHINGLES))
+    open_ = written(open_.where("kinds > 1").select("hub", "main", blocks.alias("blocks")), "open")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    members = placed.join(open_, "hub").withColumn("main", F.col("component") == F.col("main"))
+    row = ("hub", "block", "kind", "id", "component", "main")
+    hubs = open_.select("hub", every.alias("block"), F.lit(0).alias("kind"), F.col("hub").alias("id"), F.col("hub").alias("component"), F.lit(False).alias("main"))
+    held = members.select("hub", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(1).alias("kind"), "id", "component", "main")
+    asking = members.where("NOT main").select("hub", every.alias("block"), F.lit(2).alias("kind"), "id", "component", "main")
+    asked = hubs.unionByName(held).unionByName(asking)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            part = [np.concatenate(c) for c in zip(*held, strict=True)]
-            found = compare(now[1], now[2], part) if len(part[0]) > 1 else []
-            if found:
-                pairs = np.concatenate(found)
-                yield batch(LINKS, a=pairs[:, 0], b=pairs[:, 1])
-
+        now, group, ready, found = None, None, False, []
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            for i, k in zip([0, *change.tolist()], [*change.tolist(), len(cols[0])], strict=True):
-                if i == k:
-                    continue
-                group = (cols[0][i], cols[1][i], cols[2][i])
-                if group != now:
-                    if held:
-                        yield from closed()
-                    now, held = group, []
-                held.append([c[i:k] for c in cols[3:]])
-        if held:
-            yield from closed()
-
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
-
-
-def apart(docs: DataFrame, buckets: DataFrame, found: DataFrame, tested: DataFrame, size: int) -> DataFrame:
-    """Pairs (a, b) of a bucket that lie in different components, haven't been compared, and can still be linked.
+            for hub, block, kind, one, component, main, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = np.frombuffer(data, "<u8")
+                if (hub, block) != now:
+                    now, group, ready = (hub, block), None, False
+                if kind == 0:  # of a hub with several texts, any will do
+                    group = group or Held(s)
+                elif kind == 1:
+                    group.add(one, component, main, s)
+                else:
+                    if not ready:
+                        group.close()
+                        ready = True
+                    found += group.links(one, component, s)
+            yield batch(LINKS, a=[x for x, _ in found], b=[x for _, x in found])
+            found = []
 
-    A bit of one trace that the other lacks stands for a shingle at least that isn't common, so traces bound what two
-    sets have in common from above; pairs that the bound rules out aren't written.
-    """
-    now = written(buckets.select("key", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    ends = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    still = written(now.join(ends, "key", "left_semi"), "open")
-    bits = written(traces(wanted_sets(docs, still.select("id").distinct(), size)), "traces")
-    return bounded_pairs(still.join(bits, "id")).join(tested, ["a", "b"], "left_anti")
+    met = asked.join(wanted_sets(docs, asked.select("id").distinct(), size), "id").select(*row, "shingles")
+    out = written(met.repartition("hub", "block").sortWithinPartitions("hub", "block", "kind").mapInArrow(run, "a long, b long"), "links")
+    forget(placed, open_)
+    return out
 
 
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
