@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc_mod, documents, slices, words, written
+from quire.llm.common import batch, crc_mod, documents, slices, tidy, words, written
 
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
@@ -74,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield drain()
         yield drain()
 
-    return training(docs).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return training(docs).mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Symbols(dict):
@@ -305,7 +305,7 @@ def trained(docs: DataFrame, own: dict[bytes, int], unigram: np.ndarray, tokens:
 
     kind, width = "id long, row binary", model.before.shape[1]
     for turn in range(max(1, min(ROUNDS, -(-ENOUGH // tokens)))):
-        found = texts.mapInArrow(run, kind).repartition("id").mapInArrow(added, kind).toArrow().to_pydict()  # a row a symbol
+        found = texts.mapInArrow(tidy(run), kind).repartition("id").mapInArrow(tidy(added), kind).toArrow().to_pydict()  # a row a symbol
         moves = dict(zip(found["id"], found["row"], strict=True))
         matrices = np.frombuffer(moves.pop(-1), "<f4")
         tasks = matrices[-1]
@@ -334,7 +334,7 @@ def class_masses(counts: DataFrame, own: dict[bytes, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHARED)), pa.array(mass), pa.array(n)], names=["k", "c", "n"])
 
     out = np.full(SHARED, SMOOTH)
-    for r in counts.mapInArrow(run, "k long, c long, n long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
+    for r in counts.mapInArrow(tidy(run), "k long, c long, n long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
         out[r["k"]] = r["c"] + SMOOTH * (r["n"] + 1)
     return out
 
@@ -392,7 +392,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>"
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
-    rows = written(source.mapInArrow(run, kind), "scored")
+    rows = written(source.mapInArrow(tidy(run), kind), "scored")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + SMOOTH)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))

@@ -22,7 +22,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 #: Bytes of a batch between Spark and Python; texts are long, and both sides hold a batch or two.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def tuned(spark: SparkSession) -> None:
@@ -91,26 +91,44 @@ def forget(*frames: DataFrame) -> None:
             remove(df.sparkSession, held[1])
 
 
+#: Words and pieces of more characters aren't kept by workers, so that a bound on their number bounds their bytes.
+LONG = 64
+
+
 #: What workers keep between tasks, by name, with the call that drops it.
 _stores: dict[str, Callable[[], None]] = {}
 
 
 def kept(name: str, held: Sized) -> None:
-    """Names a store of this worker, so that tasks of other operators can drop it."""
+    """Names a store of this worker; tasks of other operators drop it."""
     _stores[name] = lambda: held.clear() if len(held) else None
 
 
-def sole(name: str = "") -> None:
-    """Drops what other operators' tasks have left in a worker that is used again, and gives the memory back."""
-    for other, drop in _stores.items():
-        if other != name:
-            drop()
-    gc.collect()
+def trim() -> None:
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """A task's function that first drops what other operators' tasks have left in a worker that is used again, but for the
+    store it `keeps`, and leaves no free memory behind: a worker may wait for long while others work beside it."""
+
+    def task(batches: Iterator) -> Iterator:
+        for other, drop in _stores.items():
+            if other != keeps:
+                drop()
+        gc.collect()
+        trim()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

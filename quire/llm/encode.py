@@ -14,8 +14,10 @@ import numpy as np
 
 from quire.llm.common import kept, slices, tokenizer_path
 
-#: Pieces kept by a worker; beyond it the store is emptied, which costs time and changes no result.
-KEPT = 1_200_000
+#: Bytes of pieces and ids that a worker keeps; beyond it those of the texts at hand stay, which costs time and changes no result.
+KEPT = 56 << 20
+#: What a piece takes beside its characters and ids: two objects and a place in the store.
+EACH = 180
 UNSAFE = re.compile(r"\s[ \n]\s|\s[ \n]\Z")
 SPACE = re.compile(r"\s")
 PER_CALL = 256
@@ -25,7 +27,7 @@ kept("encoders", _encoders)
 
 
 def encoder(name: str, most: int = KEPT) -> PieceEncoder:
-    """The worker's encoder, loaded once; it keeps `most` pieces."""
+    """The worker's encoder, loaded once; it keeps pieces of `most` bytes."""
     if name not in _encoders:
         _encoders[name] = PieceEncoder(name)
     _encoders[name].kept = most
@@ -43,7 +45,7 @@ class PieceEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.byte_level = self._ids("\n") != b""
-        self.kept, self.store = kept, {}
+        self.kept, self.held, self.store = kept, 0, {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.line = self._ids("\n")
         self.mark = "\n" if self.byte_level else " | "
@@ -54,34 +56,40 @@ class PieceEncoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self.store[piece] = ids
+        self.held += EACH + len(piece) + len(ids)
+
     def _fill(self, pieces: list[str], before: str, lead: bytes, start: int) -> None:
         """Stores the ids of pieces that hold no mark: many of them in one call, cut at the mark's id."""
-        for i in range(0, len(pieces), PER_CALL * 64):
-            some = pieces[i : i + PER_CALL * 64]
+        for i in range(0, len(pieces), PER_CALL * 16):
+            some = pieces[i : i + PER_CALL * 16]
             calls = [some[k : k + PER_CALL] for k in range(0, len(some), PER_CALL)]
             found = self.library.encode_batch_fast([self.mark.join([before + p[start:] for p in c]) for c in calls], add_special_tokens=False)
             for c, e in zip(calls, found, strict=True):
                 ids = np.array(e.ids, "<u4")
                 ends = np.flatnonzero(ids == self.cut[0])
                 if len(ends) != len(c) - 1:
-                    self.store.update((p, lead + self._ids(before + p[start:])) for p in c)
+                    for p in c:
+                        self._keep(p, lead + self._ids(before + p[start:]))
                     continue
                 data, at = ids.tobytes(), [0, *((ends + 1) * 4).tolist()]
                 to = [*(ends * 4).tolist(), len(data)]
                 self.store.update((p, lead + data[a:b]) for p, a, b in zip(c, at, to, strict=True))
+                self.held += EACH * len(c) + sum(map(len, c)) + len(data)
 
     def _learn(self, pieces: set[str]) -> None:
         new = pieces.difference(self.store)
         if not new:
             return
-        if len(self.store) + len(new) > self.kept:
-            self.store.clear()
-            new = pieces
+        if self.held > self.kept:
+            self.store = {p: self.store[p] for p in pieces.difference(new)}
+            self.held = sum(EACH + len(p) + len(x) for p, x in self.store.items())
         if not self.byte_level:
             plain = [p for p in new if p and "|" not in p and not SPACE.search(p)]
             self._fill(plain, "", b"", 0)
             for p in new.difference(plain):
-                self.store[p] = self._ids(p)
+                self._keep(p, self._ids(p))
             return
         spaced = [p for p in new if p and not SPACE.search(p)]
         self._fill(spaced, " ", b"", 0)
@@ -89,7 +97,7 @@ class PieceEncoder:
         lines = [p for p in rest if len(p) > 1 and p[0] == "\n" and not SPACE.search(p, 1)]
         self._fill(lines, "", self.line, 1)
         for p in rest.difference(lines):
-            self.store[p] = self._ids(p if p[:1] == "\n" else " " + p)
+            self._keep(p, self._ids(p if p[:1] == "\n" else " " + p))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc, documents, slices
+from quire.llm.common import batch, crc, documents, slices, tidy
 
 #: Payloads are padded to a multiple of this, with this byte.
 BLOCK, PAD = 576, b"\xff"
@@ -100,7 +100,7 @@ def media_columns(docs: DataFrame, columns: tuple[str, ...] = tuple(ROWS.names))
                         made[c].append(v)
                 yield batch(schema, **{c: made[c] for c in columns})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{f.name} {KINDS[str(f.type)]}" for f in schema))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), ", ".join(f"{f.name} {KINDS[str(f.type)]}" for f in schema))
 
 
 def op9_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

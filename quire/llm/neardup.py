@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, documents, forget, kept, slices, sole, splitmix, words, written
+from quire.llm.common import LONG, batch, documents, forget, kept, slices, splitmix, tidy, words, written
 from quire.llm.graph import components
 
 #: Words in a shingle for the query, and in the pipeline; links need 100 * intersection >= SHARE * union.
@@ -39,7 +39,9 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            self[word] = h
         return h
 
 
@@ -83,7 +85,6 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, digest, left, right) of every row, from whole texts; an empty set has no digest and no sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole("hashes")
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, k in slices(texts):
@@ -97,7 +98,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                         left[n], right[n] = row[:SKETCHES], row[SKETCHES:]
                 yield batch(SIGNED, doc_id=keys[i:k], n_shingles=[len(s) for s in sets], digest=digest, left=left, right=right)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "hashes"), "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>")
 
 
 def near_enough(a, b, most):
@@ -125,7 +126,6 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     packed = np.packbits(bits).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole("hashes")
         asked = np.unpackbits(np.frombuffer(packed, np.uint8))
         for b in batches:
             at = b.column(2).to_numpy(zero_copy_only=False)
@@ -135,7 +135,7 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 yield batch(SETS, id=b.column(0).take(pa.array(hit)), shingles=[shingle_set(t, size).astype("<u8").tobytes() for t in texts])
 
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id IS NOT NULL")
-    return source.withColumn("at", place).mapInArrow(run, "id long, shingles binary")
+    return source.withColumn("at", place).mapInArrow(tidy(run, "hashes"), "id long, shingles binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -173,7 +173,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
             yield batch(LINKS, a=[x for x, _ in found], b=[x for _, x in found])
 
     met = asked.join(sets, "id").select("a", "part", "kind", "id", "shingles")
-    out = written(met.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(run, "a long, b long"), "links")
+    out = written(met.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInArrow(tidy(run), "a long, b long"), "links")
     forget(pairs)
     return out
 
@@ -327,7 +327,7 @@ def apart(docs: DataFrame, around: DataFrame, sizes: DataFrame, found: DataFrame
             found = []
 
     met = asked.join(wanted_sets(docs, asked.select("id").distinct(), size), "id").select(*row, "shingles")
-    out = written(met.repartition("hub", "block").sortWithinPartitions("hub", "block", "kind").mapInArrow(run, "a long, b long"), "links")
+    out = written(met.repartition("hub", "block").sortWithinPartitions("hub", "block", "kind").mapInArrow(tidy(run), "a long, b long"), "links")
     forget(placed, open_)
     return out
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc, documents, slices, sole, written
+from quire.llm.common import batch, crc, documents, slices, tidy, written
 from quire.llm.encode import KEPT, encoder
 
 VOCABULARY, END, WINDOW = "byte_bpe_50k.json", 0, 1024
@@ -107,7 +107,6 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size:
     """Full windows and the remainder of each document, numbered within its task by length; texts are encoded once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole("encoders")
         part, seen, tokens = TaskContext.get().partitionId(), [0] * (size + 1), encoder(vocabulary, kept)
         stop = np.uint32(end).astype("<u4").tobytes()
         for b in batches:
@@ -123,7 +122,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size:
                         seen[m] += 1
                 yield batch(PIECES, **dict(zip(PIECES.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(cut, "encoders"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long")
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: int = WINDOW, kept: int = KEPT) -> DataFrame:
@@ -147,7 +146,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: in
             yield batch(PLACED, sequence_id=sequence, offset=offset, **{c: b.column(c) for c in PLACED.names[:5]})
 
     ranked = cut.join(counts.drop("n"), ["part", "length"]).withColumn("nth", F.col("nth") + F.col("ahead"))
-    return ranked.select(*PLACED.names[:5], "nth").mapInArrow(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.select(*PLACED.names[:5], "nth").mapInArrow(tidy(assign), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc_mod, documents, labels, slices, sole, written
+from quire.llm.common import batch, crc_mod, documents, labels, slices, tidy, written
 from quire.llm.fit import lasso_logistic
 
 #: Statistics of a text; shares are of its words, lines or bytes, 0 where there are none.
@@ -59,7 +59,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                 cols = zip(*map(statistics, texts[i:k]), strict=True)
                 yield batch(ROWS, doc_id=keys.slice(i, k - i), **dict(zip(STATS, map(list, cols), strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
 
 
 @dataclass(frozen=True)
@@ -164,14 +164,13 @@ def accepted(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Data
     ids = F.broadcast(label_sample(labelled, "quality", FOLDS, HELD_OUT, sample).select("doc_id"))  # bounded by `sample`
     rules, bias = fitted(written(with_statistics(docs.join(ids, "doc_id", "left_semi")), "quality"), labelled, sample)
 
-    ready: list[bool] = []
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([statistics(t) for t in texts], columns=list(STATS))
 
     @F.pandas_udf(", ".join(f"{s} double" for s in STATS))
-    def stats(texts: pd.Series) -> pd.DataFrame:
-        if not ready:
-            sole()
-            ready.append(True)
-        return pd.DataFrame([statistics(t) for t in texts], columns=list(STATS))
+    def stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(run)(batches)
 
     held = "_quire_stats"
     return docs.withColumn(held, stats(F.col("text").cast("string"))).where(compiled(rules, bias, f"{held}.") >= THRESHOLD).drop(held)

@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, documents, kept, slices, sole, tokenizer_path
+from quire.llm.common import LONG, batch, documents, kept, slices, tidy, tokenizer_path
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 CHUNK = 256
 #: What a worker keeps; beyond it the store is emptied and filled anew.
-PIECES_KEPT, STATES_KEPT = 800_000, 200_000
+PIECES_KEPT, STATES_KEPT, PAIRS_KEPT = 400_000, 100_000, 400_000
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 # classes of characters: letters that end a contraction stand apart
@@ -191,7 +191,7 @@ class MergeTransducer:
     def _may_follow(self, a: int, b: int) -> bool:
         found = self.beside.get((a, b))
         if found is None:
-            if len(self.beside) > 2_000_000:
+            if len(self.beside) > PAIRS_KEPT:
                 self.beside.clear()
             found = self.beside[a, b] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
         return found
@@ -235,7 +235,9 @@ class Counter(dict):
         self.machine = machine
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = self.machine.count(piece.encode("utf-8"))
+        n = self.machine.count(piece.encode("utf-8"))
+        if len(piece) <= LONG:
+            self[piece] = n
         return n
 
 
@@ -288,14 +290,13 @@ def with_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMI
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each row of `docs`; null and empty texts have 0 of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole("machines")
         for b in batches:
             texts = b.column(1).to_pylist()
             n = count_tokens(texts, vocabulary)
             sizes = [len(t.encode("utf-8")) if t else 0 for t in texts]
             yield batch(ROWS, doc_id=b.column(0), n_bytes=sizes, n_tokens=n, over_limit=n > limit)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "machines"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op5_state_machine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc, documents, scratch, slices, splitmix, written
+from quire.llm.common import batch, crc, documents, scratch, slices, splitmix, tidy, written
 from quire.llm.encode import encoder
 
 VOCABULARY, END = "word_bpe_49k.json", 2
@@ -185,7 +185,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
             yield batch(META, shard=[context.partitionId()], path=[name], n_docs=[len(writer.ends)], n_ids=[writer.n_ids])
 
     dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    meta = written(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "shards")
+    meta = written(dealt.mapInArrow(tidy(write, "encoders"), "shard int, path string, n_docs long, n_ids long"), "shards")
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     return meta.withColumn("start", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)))
 
@@ -210,7 +210,7 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
                     yield batch(ROWS, doc_id=keys[i : i + 4096], start=row["start"] + shard.ends[some], n_tokens=shard.ends[some + 1] - shard.ends[some], ids_crc32=sums, shard=[row["shard"]] * len(some))
 
     n = max(1, shards.count())
-    return shards.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return shards.repartition(n).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

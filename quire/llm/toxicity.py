@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc_mod, documents, labels, slices, sole, words, written
+from quire.llm.common import LONG, batch, crc_mod, documents, labels, slices, tidy, words, written
 from quire.llm.fit import lasso_logistic
 from quire.llm.quality import label_sample
 
@@ -91,7 +91,8 @@ class Grammar:
             core = word.strip(STRIP)
             weight = max([self.weights.get(core, 0.0)] + [self.weights.get(s, 0.0) for s in stems(core)])
             found = (INSULT, weight) if weight > 0 else (self.fixed.get(core, NONE), 0.0)
-            self.known[word] = found
+            if len(word) <= LONG:
+                self.known[word] = found
         return found
 
     def step(self, state: tuple, kind: int) -> tuple:
@@ -176,7 +177,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
                     yield drain()
         yield drain()
 
-    return sample.select("text", "y").mapInArrow(run, "term binary, toxic long, clean long").where("term != X''").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.select("text", "y").mapInArrow(tidy(run), "term binary, toxic long, clean long").where("term != X''").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def lexicon(sample: DataFrame, most: int = LEXICON) -> dict[bytes, float]:
@@ -219,7 +220,7 @@ def with_features(docs: DataFrame, weights: dict[bytes, float], *more: str) -> D
                 yield batch(schema, doc_id=b.column(0).slice(i, k - i), **dict(zip(FEATURES, map(list, cols), strict=True)), **extra)
 
     kind = "doc_id long, " + ", ".join(f"{c} double" for c in (*FEATURES, *more))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(tidy(run), kind)
 
 
 def fitted(docs: DataFrame, labelled: DataFrame, sample: int) -> tuple[dict[bytes, float], np.ndarray, float]:
@@ -240,14 +241,15 @@ def linked(coef: np.ndarray, bias: float, prefix: str = "") -> Column:
 def clean(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of `docs` that aren't predicted toxic, with all their columns; texts stay where they are."""
     weights, coef, bias = fitted(docs, labelled, sample)
-    grammars: list[Grammar] = []
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        grammar = Grammar(weights)
+        for texts in batches:
+            yield pd.DataFrame([grammar.features(t) for t in texts], columns=list(FEATURES))
 
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
-    def features(texts: pd.Series) -> pd.DataFrame:
-        if not grammars:
-            sole()
-            grammars.append(Grammar(weights))
-        return pd.DataFrame([grammars[0].features(t) for t in texts], columns=list(FEATURES))
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(run)(batches)
 
     held = "_quire_clauses"
     return docs.withColumn(held, features(F.col("text").cast("string"))).where(linked(coef, bias, f"{held}.") < THRESHOLD).drop(held)
