@@ -124,9 +124,14 @@ def line_and_column(text: str, at: int) -> tuple[int, int]:
     return len(re.findall("\r\n|\r|\n", ahead)) + 1, at - max(ahead.rfind("\n"), ahead.rfind("\r"))
 
 
+def quoted(text: str, most: int = 26) -> str:
+    """A token in a message, cut if it is long."""
+    return repr(text) if len(text) <= most else repr(text[:most]) + " ..."
+
+
 def number_text(x: float) -> str:
     """At most nine decimals, no exponent, no trailing zeros."""
-    return f"{x:.9f}".rstrip("0").rstrip(".")
+    return f"{x + 0.0:.9f}".rstrip("0").rstrip(".")
 
 
 # --- columns ---
@@ -147,13 +152,40 @@ def hex_column(lexeme: Column) -> Column:
     return F.unhex(F.concat(digits, F.repeat(F.lit("0"), (F.length(digits) % 2).cast("int"))))
 
 
+#: Characters of PDFDocEncoding that differ from Latin-1, and the codes that they have there.
+_MARKS = LOW_MARKS + HIGH_MARKS + "\u20ac"
+_CODES = "".join(map(chr, [*range(0x18, 0x20), *range(0x80, 0x9F), 0xA0]))
+
+
+def _wide(raw: Column) -> Column:
+    return F.substring(F.hex(raw), 1, 4) == "FEFF"
+
+
+def doc_text_problem(raw: Column) -> Column:
+    """Why string bytes are no text: half a character, or a code that PDFDocEncoding leaves open; null where they are text."""
+    half = F.when(F.octet_length(raw) % 2 == 1, "half a character")
+    return F.when(_wide(raw), half).otherwise(F.when(F.decode(raw, "ISO-8859-1").rlike("[\x7f\x9f\xad]"), "a code without a character"))
+
+
 def doc_text_column(raw: Column) -> Column:
-    """Text of string bytes: UTF-16BE behind its mark, else PDFDocEncoding; codes that it leaves open pass as they are."""
+    """Text of string bytes: UTF-16BE behind its mark, else PDFDocEncoding; null where string_text() raises, see doc_text_problem().
+
+    Surrogates without a partner end the query, as Spark's decode does; text_udf reads those documents' strings one by one."""
+    good = doc_text_problem(raw).isNull()
     # decode is strict, so the branch not taken must not see bytes that it can't read
-    wide = F.when((F.substring(F.hex(raw), 1, 4) == "FEFF") & (F.length(raw) % 2 == 0), raw).otherwise(F.unhex(F.lit("FEFF")))
-    marks = [*range(0x18, 0x20), *range(0x80, 0x9F), 0xA0]
-    plain = F.translate(F.decode(raw, "ISO-8859-1"), "".join(map(chr, marks)), LOW_MARKS + HIGH_MARKS + "\u20ac")
-    return F.when(F.substring(F.hex(raw), 1, 4) == "FEFF", F.decode(F.substring(wide, 3, 2**31 - 1), "UTF-16BE")).otherwise(plain)
+    wide = F.when(_wide(raw) & good, raw).otherwise(F.unhex(F.lit("FEFF")))
+    plain = F.translate(F.decode(raw, "ISO-8859-1"), _CODES, _MARKS)
+    return F.when(good, F.when(_wide(raw), F.decode(F.substring(wide, 3, 2**31 - 1), "UTF-16BE")).otherwise(plain))
+
+
+def text_column(text: Column) -> Column:
+    """A string lexeme for text, as encode_text() chooses it: PDFDocEncoding where it has all characters and can't be taken for
+    UTF-16, in hex if as many characters need an escape as there are; else UTF-16BE in hex."""
+    fits = ~text.rlike("[^\t\n\r -~\u00a1-\u00ac\u00ae-\u00ff" + _MARKS + "]") & ~text.startswith("\u00fe\u00ff")
+    coded = F.translate(text, _MARKS, _CODES)
+    escapes = F.length(text) - F.length(F.translate(text, "()\\", ""))
+    literal = F.when(escapes >= F.length(text), F.concat(F.lit("<"), F.hex(F.encode(F.when(fits, coded).otherwise(""), "ISO-8859-1")), F.lit(">"))).otherwise(literal_column(coded))
+    return F.when(fits, literal).otherwise(utf16_hex_column(text))
 
 
 def name_column(name: Column) -> Column:
@@ -172,6 +204,11 @@ def line_column(text: Column, at: Column) -> Column:
     return F.regexp_count(F.substr(text, F.lit(1), at), F.lit("\r\n|\r|\n")) + 1
 
 
+def column_column(text: Column, at: Column) -> Column:
+    """1-based column of an offset within its line; with line_column() the same as line_and_column()."""
+    return F.length(F.regexp_extract(F.substr(text, F.lit(1), at), "[^\r\n]*\\z", 0)) + 1
+
+
 def big_endian(raw: Column) -> Column:
     """Unsigned big-endian number of up to seven bytes; none for no bytes."""
     return F.when(F.length(raw) > 0, F.conv(F.hex(raw), 16, 10).cast("long"))

@@ -1,4 +1,6 @@
-"""Dictionaries and arrays of a document as map and array columns of lexemes."""
+"""Dictionaries and arrays of a document as map and array columns of lexemes.
+
+Null dictionaries and arrays stay null; entries with null values count as not there."""
 
 from __future__ import annotations
 
@@ -23,6 +25,11 @@ def put(held: Column, key: str, value: Column) -> Column:
     return F.when(value.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), value)))
 
 
+def with_stream(held: Column, data: Column) -> Column:
+    """The dictionary of a stream: its length is that of the data."""
+    return put(held, "/Length", F.octet_length(data).cast("string"))
+
+
 def merged(old: Column, new: Column) -> Column:
     """Both dictionaries; where they share a key the new one counts."""
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)

@@ -8,57 +8,41 @@ they come from, each of which is sent there once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.geometry import NUMBERS, Box, turn_box, turn_point, view_box
+from quire.operators.layout import DIGITS, PLACING
 from quire.sources import objects as o
 from quire.sources import pdf
-from quire.sources.parser import INHERITED, Document, parse
-from quire.sources.writer import VERSION, from_pages
+from quire.sources.parser import INHERITED, Document, decoded, parse
+from quire.sources.shared import file_system
+from quire.sources.writer import VERSION, from_pages, scalar, serialize
 
 PLAN = {"z": "int", "x": "double", "y": "double", "scale": "double", "turn": "int", "view": "array<double>", "whole": "boolean"}
 FRAGMENT = "/Fragment"
 
 
-def turned(x: float, y: float, turns: int) -> tuple[float, float]:
-    for _ in range(turns % 4):
-        x, y = y, -x
-    return x, y
-
-
-def turned_box(box: list[float], turns: int) -> list[float]:
-    a, b = turned(box[0], box[1], turns), turned(box[2], box[3], turns)
-    return [min(a[0], b[0]), min(a[1], b[1]), max(a[0], b[0]), max(a[1], b[1])]
-
-
-def viewed(box: list[float], view: list[float] | None, turns: int) -> list[float]:
-    """The part of a page's box that a view shows; shares of the page if all are within 0 and 1 and not all equal."""
-    if not view:
-        return box
-    seen = turned_box(box, turns)
-    wide, high = seen[2] - seen[0], seen[3] - seen[1]
-    if all(0 <= v <= 1 for v in view) and len(set(view)) > 1:
-        view = [view[0] * wide, view[1] * high, view[2] * wide, view[3] * high]
-    x0, y1 = seen[0] + view[0], seen[3] - view[1]
-    cut = [max(x0, seen[0]), max(y1 - view[3], seen[1]), min(x0 + view[2], seen[2]), min(y1, seen[3])]
-    return turned_box(cut, -turns)
-
-
 class Form:
     """A page, or what a view shows of it, as a reusable fragment, with its box as it is seen."""
 
     def __init__(self, page: dict[str, o.Value], doc: Document, view: list[float] | None = None, turns: int = 0):
         media = pdf.box(page.get("/MediaBox"), doc) or [0.0, 0.0, 612.0, 792.0]
         page_turns = (o.integer(doc.resolve(page.get("/Rotate"))) or 0) // 90
-        self.box = viewed(pdf.box(page.get("/CropBox"), doc) or media, view, page_turns)
+        box = Box(*(pdf.box(page.get("/CropBox"), doc) or media))
+        self.box = view_box(box, None, tuple(view), page_turns, NUMBERS) if view else box
         turns += page_turns
-        self.seen = turned_box(self.box, turns)
+        self.seen = turn_box(self.box, turns, NUMBERS)
         held: dict[str, o.Value] = {"/Type": o.name("XObject"), "/Subtype": o.name("Form"), "/FormType": o.number(1), "/BBox": [o.number(v) for v in self.box]}
         if turns % 4:
-            held["/Matrix"] = [o.number(v) for v in (*turned(1.0, 0.0, turns), *turned(0.0, 1.0, turns), 0.0, 0.0)]
+            held["/Matrix"] = [o.number(v) for v in (*turn_point(1.0, 0.0, turns), *turn_point(0.0, 1.0, turns), 0.0, 0.0)]
         if "/Resources" in page:
             held["/Resources"] = page["/Resources"]
         self.stream = o.Stream(held, pdf.contents(page, doc))
@@ -96,8 +80,8 @@ def sheet(base: dict[str, o.Value] | None, base_doc: Document | None, items: lis
 class Sources:
     """Parsed source files, whose objects are numbered apart from each other."""
 
-    def __init__(self, files: dict[str, bytes]):
-        self.docs = {k: parse(v) for k, v in sorted(files.items())}
+    def __init__(self, files: dict[str, bytes], password: bytes | None = None):
+        self.docs = {k: parse(v, password) for k, v in sorted(files.items())}
         self.objects: dict[tuple[int, int], o.Value] = {}
         shift = 0
         for doc in self.docs.values():
@@ -126,11 +110,11 @@ class Sources:
         return (doc.pages[number - 1][1], doc) if doc and 1 <= number <= len(doc.pages) else None
 
 
-def build(rows: list[dict], files: dict[str, bytes], compress: bool, version: str, info: dict[str, str] | None) -> bytes:
-    sources, made, forms = Sources(files), [], {}
-    for number in sorted({r["out_page"] for r in rows}):
+def build(rows: list[dict], files: dict[str, bytes], compress: bool, version: str, info: dict[str, str] | None, password: bytes | None) -> bytes:
+    sources, made, forms = Sources(files, password), [], {}
+    for _, group in groupby(sorted(rows, key=lambda r: r["out_page"]), key=lambda r: r["out_page"]):
         base, items = (None, None), []
-        for r in (r for r in rows if r["out_page"] == number):
+        for r in group:
             found = sources.page(r["doc_id"], r["page_no"])
             if found is None:
                 continue
@@ -152,8 +136,11 @@ def build(rows: list[dict], files: dict[str, bytes], compress: bool, version: st
     return from_pages(made, sources.objects, info, version, compress)
 
 
-def compose(content: DataFrame, plan: DataFrame, compress: bool = False, version: str = VERSION, info: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, content) of the documents that a plan describes; rows whose source page isn't there add nothing."""
+def compose(content: DataFrame, plan: DataFrame, compress: bool = False, version: str = VERSION, info: dict[str, str] | None = None, password: bytes | None = None) -> DataFrame:
+    """(doc_id, content) of the documents that a plan describes; rows whose source page isn't there add nothing.
+
+    Each source is parsed once for each document that takes pages from it. The sources of one new document meet in one
+    task, as their pages do in its file, so what it takes from must fit there."""
     for name, kind in PLAN.items():
         if name not in plan.columns:
             plan = plan.withColumn(name, F.lit(None).cast(kind) if name != "whole" else F.lit(False))
@@ -168,22 +155,25 @@ def compose(content: DataFrame, plan: DataFrame, compress: bool = False, version
         for b in batches:
             for key, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 every = [r | {"doc_id": p["doc_id"]} for p in parts for r in p["rows"]]
-                data = build(every, {p["doc_id"]: p["content"] for p in parts}, compress, version, info)
+                data = build(every, {p["doc_id"]: p["content"] for p in parts}, compress, version, info, password)
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([data], pa.binary())], names=["doc_id", "content"])
 
     return per_doc.mapInArrow(run, "doc_id string, content binary")
 
 
-def rewrite(content: DataFrame, compress: bool = False, decompress: bool = False, info: dict[str, str] | None = None, version: str | None = None) -> DataFrame:
-    """Each document written anew with its structure: streams deflated or inflated, entries of its information changed."""
-    from quire.sources.parser import decoded
-    from quire.sources.writer import serialize
+def rewrite(
+    content: DataFrame, compress: bool | Callable[[o.Stream], bool] = False, decompress: bool = False, info: dict[str, str] | None = None, version: str | None = None,
+    user_format: Callable[[object], o.Value] = scalar, canonical: bool = False, password: bytes | None = None,
+) -> DataFrame:
+    """Each document written anew with its structure: streams deflated (all, or those that `compress` picks) or inflated, entries
+    of its information changed, values written as `user_format` says, in canonical form where asked for; encrypted ones in
+    the clear with a password. A document that can't be read has null content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for data in b.column(1).to_pylist():
-                doc = parse(data)
+                doc = parse(data, password)
                 if doc.status == "failed":
                     out.append(None)
                     continue
@@ -195,58 +185,57 @@ def rewrite(content: DataFrame, compress: bool = False, decompress: bool = False
                                 v.entries.pop("/Filter")
                                 v.entries.pop("/DecodeParms", None)
                 trailer = dict(doc.trailer)
+                if doc.status == "decrypted":
+                    trailer.pop("/Encrypt", None)
                 if info:
                     trailer["/Info"] = o.entries(doc.resolve(trailer.get("/Info"))) | info
-                out.append(serialize(trailer, doc.objects, version or doc.version, compress))
+                out.append(serialize(trailer, doc.objects, version or doc.version, compress, canonical=canonical, user_format=user_format))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
 
     return content.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, "doc_id string, content binary")
 
 
-def fragments(content: DataFrame, margin: float = 36, width: float = 612, ignore_below: int = 300) -> DataFrame:
+def trivial(stream: o.Stream, most: int = 300) -> bool:
+    """Whether a form only places others; the same rule as operators.layout.trivial. An image never is."""
+    if o.name_of(stream.entries.get("/Subtype")) != "/Form" or len(stream.data) >= most:
+        return False
+    return all(w in PLACING or w[:1] == "/" or re.fullmatch(DIGITS, w) for w in stream.data.decode("latin-1").split())
+
+
+def shown(stream: o.Stream, doc: Document, width: float = 612, margin: float = 36) -> dict[str, o.Value] | None:
+    """A page that shows a form at its size, or an image within margins; None where its size isn't known."""
+    resources: dict[str, o.Value] = {"/XObject": {FRAGMENT + "0": stream}}
+    if o.name_of(doc.resolve(stream.entries.get("/Subtype"))) == "/Form":
+        box = pdf.box(stream.entries.get("/BBox"), doc)
+        return box and {"/MediaBox": [o.number(v) for v in box], "/Resources": resources, "/Contents": o.Stream({}, f"{FRAGMENT}0 Do".encode())}
+    w, h = (o.real(doc.resolve(stream.entries.get(k))) for k in ("/Width", "/Height"))
+    if not w or not h:
+        return None
+    wide = width - 2 * margin
+    high = wide * h / w
+    numbers = " ".join(o.number(float(v)).text for v in (wide, 0, 0, high, margin, margin))
+    return {"/MediaBox": [o.number(float(v)) for v in (0, 0, width, high + 2 * margin)], "/Resources": resources, "/Contents": o.Stream({}, f"q {numbers} cm {FRAGMENT}0 Do Q".encode())}
+
+
+def fragments(
+    content: DataFrame, margin: float = 36, width: float = 612, ignore_below: int = 300, types: tuple[str | None, ...] = ("/XObject", None), subtypes: tuple[str | None, ...] = ("/Form", "/Image"),
+    no_follow: tuple[str, ...] = ("/Parent",), image_only: bool = False, ignore: Callable[[o.Stream], bool] | None = None, wrap: Callable[[o.Stream, Document], dict[str, o.Value] | None] | None = None, password: bytes | None = None,
+) -> DataFrame:
     """(doc_id, content): for each document with forms or images one with a page for each of them, trivial forms left out.
 
-    Objects are found from the trailer on, each once, whatever loops there are; a form is shown at its size, an image
-    within margins.
+    Objects are found by pdf.search(), which the types, subtypes and keys not followed are for. `ignore` says what is left out
+    (by default trivial forms of fewer bytes than `ignore_below`), `wrap` makes the page for an object (by default a form at its
+    size, an image within margins). Documents without any, and those that can't be read, have no row.
     """
-
-    def found(doc: Document) -> Iterator[o.Stream]:
-        todo, seen = [doc.trailer.get("/Root")], set()
-        while todo:
-            value = todo.pop()
-            if isinstance(value, o.Ref):
-                if value in seen:
-                    continue
-                seen.add(value)
-                value = doc.objects.get(tuple(value))
-            held = o.entries(value)
-            if isinstance(value, o.Stream) and o.name_of(held.get("/Type")) in ("/XObject", None) and o.name_of(doc.resolve(held.get("/Subtype"))) in ("/Form", "/Image"):
-                yield value
-            todo += reversed(value) if isinstance(value, list) else [held[k] for k in sorted(held, reverse=True) if k != "/Parent"]
-
-    def trivial(stream: o.Stream) -> bool:
-        if o.name_of(stream.entries.get("/Subtype")) != "/Form" or len(stream.data) >= ignore_below:
-            return False
-        return all(w in ("q", "Q", "cm", "Do") or w[:1] == "/" or w.replace(".", "").replace("-", "").isdigit() for w in stream.data.decode("latin-1").split())
-
-    def shown(stream: o.Stream, doc: Document) -> dict[str, o.Value] | None:
-        if o.name_of(doc.resolve(stream.entries.get("/Subtype"))) == "/Form":
-            box = pdf.box(stream.entries.get("/BBox"), doc)
-            resources: dict[str, o.Value] = {"/XObject": {FRAGMENT + "0": stream}}
-            return box and {"/MediaBox": [o.number(v) for v in box], "/Resources": resources, "/Contents": o.Stream({}, f"{FRAGMENT}0 Do".encode())}
-        w, h = (o.real(doc.resolve(stream.entries.get(k))) for k in ("/Width", "/Height"))
-        if not w or not h:
-            return None
-        wide = width - 2 * margin
-        high = wide * h / w
-        numbers = " ".join(o.number(float(v)).text for v in (wide, 0, 0, high, margin, margin))
-        return {"/MediaBox": [o.number(float(v)) for v in (0, 0, width, high + 2 * margin)], "/Resources": {"/XObject": {"/MyImage": stream}}, "/Contents": o.Stream({}, f"q {numbers} cm /MyImage Do Q".encode())}
+    left_out = ignore or (lambda stream: trivial(stream, ignore_below))
+    page_of = wrap or (lambda stream, doc: shown(stream, doc, width, margin))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                doc = parse(data)
-                made = [p for s in found(doc) if not trivial(s) and (p := shown(s, doc))]
+                doc = parse(data, password)
+                met = [v for _, v in pdf.search(doc, types, ("/Image",) if image_only else subtypes, no_follow) if isinstance(v, o.Stream)]
+                made = [p for s in met if not left_out(s) and (p := page_of(s, doc))]
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([from_pages(made, doc.objects)], pa.binary())], names=["doc_id", "content"])
 
@@ -256,22 +245,23 @@ def fragments(content: DataFrame, margin: float = 36, width: float = 612, ignore
 def save(content: DataFrame, folder: str, suffix: str = ".pdf") -> DataFrame:
     """Writes each document to a file of a folder that all tasks reach, named by a digest of its id; (doc_id, path, n_bytes).
 
-    A file appears under its name only when it is whole, and a task that runs again writes the same file.
+    A file appears under its name only when it is whole, and a task that runs again writes the same file; of equal ids one
+    document remains. Null content is an empty file. For folders in stores that only Spark reaches this is a ValueError.
     """
-    import hashlib
+    file_system(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder)
+        system, root = file_system(folder)
         system.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
         for b in batches:
             names = []
             for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 name = hashlib.sha256(str(key).encode()).hexdigest()[:32] + suffix
-                with system.open_output_stream(f"{root}/.{name}.part") as out:
+                part = f"{root}/.{name}.{attempt}"
+                with system.open_output_stream(part) as out:
                     out.write(data or b"")
-                system.move(f"{root}/.{name}.part", f"{root}/{name}")
+                system.move(part, f"{root}/{name}")
                 names.append(f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array([len(d or b"") for d in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "path", "n_bytes"])
 

@@ -8,12 +8,20 @@ from typing import NamedTuple
 
 from quire.functions.strings import line_and_column
 
-_REGULAR = r"[^\\\x00 \t\f\n\r()<>{}\[\]/%]"
-_BLANK = r"\x00 \t\f\n\r"
-_TOKEN = re.compile(
-    rf"(?P<word>(?:{_REGULAR}+|\\[^{_BLANK}])+)|(?P<name>/(?:{_REGULAR}|\\)*)|(?P<hex><[{_BLANK}0-9A-Fa-f]*>)"
-    rf"|(?P<mark><<|>>)|(?P<string>\()|(?P<comment>%[^\n\r]*)|(?P<other>[^{_BLANK}])"
-)
+# Blanks end a token and mean nothing else; delimiters end a token and begin another. Outside strings a backslash is an
+# ordinary character, and one ahead of a delimiter takes it into its word.
+_BLANK, _DELIMITER = r"\x00\t\n\f\r ", r"()<>\[\]{}/%"
+_PLAIN = rf"[^{_BLANK}{_DELIMITER}\\]"
+_KINDS = {
+    "comment": r"%[^\r\n]*",
+    "name": rf"/[^{_BLANK}{_DELIMITER}]*",
+    "string": r"\(",
+    "mark": r"<<|>>",
+    "hex": rf"<[0-9A-Fa-f{_BLANK}]*>",
+    "word": rf"(?:{_PLAIN}|\\[^{_BLANK}])+",
+    "other": rf"[^{_BLANK}]",
+}
+_TOKEN = re.compile(rf"[{_BLANK}]*(?:" + "|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _KINDS.items()) + ")", re.S)
 _PAREN = re.compile(r"\\.|[()]", re.S)
 
 
@@ -76,13 +84,14 @@ class Lexer:
 
     def next(self) -> Token | None:
         """The next token, or None at the end."""
-        while m := _TOKEN.search(self.text, self.at):
-            kind, end = m.lastgroup, m.end()
+        while m := _TOKEN.match(self.text, self.at):
+            kind = m.lastgroup
+            start, end = m.span(kind)
             if kind == "string":
-                end = self._string_end(m.start())
+                end = self._string_end(start)
             self.at = end
             if kind != "comment" or self.comments:
-                return Token(m.start(), end, self.text[m.start() : end], kind)
+                return Token(start, end, self.text[start:end], kind)
         self.at = len(self.text)
         return None
 

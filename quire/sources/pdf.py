@@ -2,7 +2,7 @@
 
 Every table takes a frame with `doc_id` and `content` (bytes). Documents are parsed where their bytes are, one by one,
 without a shuffle; a damaged one yields a row in `documents` with its problems and no rows elsewhere (mode PERMISSIVE),
-or is left out (DROPMALFORMED), or ends the job (FAILFAST).
+or is left out (DROPMALFORMED), or ends the job (FAILFAST). With a password, encrypted documents are read as if they weren't.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import geometry
 from quire.sources import objects as o
 from quire.sources.lexer import Lexer
 from quire.sources.parser import Document, decoded, parse
@@ -60,10 +61,10 @@ def rows_of(content: DataFrame, ddl: str, make: Callable[[str, bytes], Iterator[
     return content.select(F.col("doc_id").cast("string"), F.col("content").cast("binary")).mapInArrow(run, ddl)
 
 
-def checked(key: str, data: bytes | None, mode: str) -> Document | None:
+def checked(key: str, data: bytes | None, mode: str, password: bytes | None = None) -> Document | None:
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
-    doc = parse(data)
+    doc = parse(data, password)
     if doc.status == "failed" and mode == "FAILFAST":
         raise ValueError(f"{key}: {doc.problems[-1].message}")
     return None if doc.status == "failed" and mode == "DROPMALFORMED" else doc
@@ -81,9 +82,9 @@ def plain(value: o.Value | None) -> object:
     return {k: plain(held[k]) for k in sorted(held)}
 
 
-def documents(content: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def documents(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
     def make(key: str, data: bytes) -> Iterator[tuple]:
-        doc = checked(key, data, mode)
+        doc = checked(key, data, mode, password)
         if doc is not None:
             info = doc.resolve(doc.trailer.get("/Info"))
             notes = [f"{p.level}: {p.message} ({p.line}, {p.column})" for p in doc.problems]
@@ -92,11 +93,11 @@ def documents(content: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return rows_of(content, DOCUMENTS, make)
 
 
-def objects(content: DataFrame, mode: str = "PERMISSIVE", decompress: bool = False) -> DataFrame:
+def objects(content: DataFrame, mode: str = "PERMISSIVE", decompress: bool = False, password: bytes | None = None) -> DataFrame:
     """Indirect objects, values as JSON of lexemes; streams as stored, or decoded where that is asked for and possible."""
 
     def make(key: str, data: bytes) -> Iterator[tuple]:
-        doc = checked(key, data, mode)
+        doc = checked(key, data, mode, password)
         for (n, g), value in sorted(doc.objects.items()) if doc else ():
             held, stream = o.entries(value), value.data if isinstance(value, o.Stream) else None
             names = doc.resolve(held.get("/Filter"))
@@ -110,7 +111,7 @@ def objects(content: DataFrame, mode: str = "PERMISSIVE", decompress: bool = Fal
     return rows_of(content, OBJECTS, make)
 
 
-def nodes(content: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def nodes(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
     """Every value of every object, with its place in its parent; node 0 is the object itself. The trailer is object 0."""
 
     def walk(key: str, n: int, g: int, top: o.Value) -> Iterator[tuple]:
@@ -126,7 +127,7 @@ def nodes(content: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
             todo += reversed(below)
 
     def make(key: str, data: bytes) -> Iterator[tuple]:
-        doc = checked(key, data, mode)
+        doc = checked(key, data, mode, password)
         for (n, g), value in sorted([*doc.objects.items(), ((0, 65535), doc.trailer)]) if doc else ():
             yield from walk(key, n, g, value)
 
@@ -151,11 +152,11 @@ def contents(page: dict[str, o.Value], doc: Document) -> bytes:
     return b"\n".join(decoded(p, doc)[0] for p in parts if isinstance(p, o.Stream))
 
 
-def pages(content: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def pages(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
     """Pages in order, numbered from 1, with what they inherit; a missing crop box is the media box."""
 
     def make(key: str, data: bytes) -> Iterator[tuple]:
-        doc = checked(key, data, mode)
+        doc = checked(key, data, mode, password)
         for k, (ref, page) in enumerate(doc.pages, 1) if doc else ():
             media = box(page.get("/MediaBox"), doc)
             yield key, k, *(ref or (None, None)), media, box(page.get("/CropBox"), doc) or media, o.integer(doc.resolve(page.get("/Rotate"))) or 0, contents(page, doc)
@@ -163,11 +164,57 @@ def pages(content: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return rows_of(content, PAGES, make)
 
 
-def xref(content: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+def search(doc: Document, types: tuple[str | None, ...] = ("/XObject", None), subtypes: tuple[str | None, ...] = ("/Form", "/Image"), no_follow: tuple[str, ...] = ("/Parent",)) -> Iterator[tuple[o.Ref | None, o.Value]]:
+    """Dictionaries and streams of given types and subtypes (None: without one), with the reference that led there.
+
+    The search starts at the catalog and reads each object once, whatever loops there are: arrays in order, entries in order
+    of their keys, but for those of keys that aren't followed."""
+    todo, seen = [doc.trailer.get("/Root")], set()
+    while todo:
+        value = ref = todo.pop()
+        if isinstance(value, o.Ref):
+            if value in seen:
+                continue
+            seen.add(value)
+            value = doc.objects.get(tuple(value))
+        held = o.entries(value)
+        if isinstance(value, dict | o.Stream) and o.name_of(doc.resolve(held.get("/Type"))) in types and o.name_of(doc.resolve(held.get("/Subtype"))) in subtypes:
+            yield ref if isinstance(ref, o.Ref) else None, value
+        todo += reversed(value) if isinstance(value, list) else [held[k] for k in sorted(held, reverse=True) if k not in no_follow]
+
+
+FOUND = "doc_id string, ord int, objnum int, gennum int, type string, subtype string, length long"
+
+
+def found(content: DataFrame, types: tuple[str | None, ...] = ("/XObject", None), subtypes: tuple[str | None, ...] = ("/Form", "/Image"), no_follow: tuple[str, ...] = ("/Parent",), mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
+    """What search() finds in each document, in order; numbers are null for what stands inside another object."""
+
+    def make(key: str, data: bytes) -> Iterator[tuple]:
+        doc = checked(key, data, mode, password)
+        for k, (ref, value) in enumerate(search(doc, types, subtypes, no_follow)) if doc else ():
+            held = o.entries(value)
+            yield key, k, *(ref or (None, None)), o.name_of(doc.resolve(held.get("/Type"))), o.name_of(doc.resolve(held.get("/Subtype"))), len(value.data) if isinstance(value, o.Stream) else None
+
+    return rows_of(content, FOUND, make)
+
+
+def addressed(uris: DataFrame, content: DataFrame, uri: str = "uri", password: bytes | None = None) -> DataFrame:
+    """Rows with page addresses beside their pages: adds docname, page, viewrect, rotate and the page's columns.
+
+    Only documents that some address names are read, each once, however many addresses it has. An address without a page means
+    the first. One without a document, or whose document or page isn't there, keeps nulls; so does a null one. Columns of `uris`
+    must differ from those of the pages and addresses."""
+    given = uris.withColumn("_at", geometry.address(F.col(uri))).select("*", "_at.*").drop("_at").withColumn("page", F.coalesce("page", F.lit(1)))
+    asked = given.select(F.col("docname").alias("doc_id")).distinct()
+    leaves = pages(content.withColumn("doc_id", F.col("doc_id").cast("string")).join(asked, "doc_id", "left_semi"), password=password)
+    return given.join(leaves, (F.col("docname") == F.col("doc_id")) & (F.col("page") == F.col("page_no")), "left")
+
+
+def xref(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
     """Cross-reference entries of all revisions, numbered from 0 for the oldest."""
 
     def make(key: str, data: bytes) -> Iterator[tuple]:
-        doc = checked(key, data, mode)
+        doc = checked(key, data, mode, password)
         for revision, section in enumerate(reversed(doc.sections)) if doc else ():
             for (n, g), e in sorted(section.entries.items()):
                 yield key, revision, n, g, "compressed" if e.container else "plain", e.offset, e.container or None, e.index if e.container else None

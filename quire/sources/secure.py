@@ -8,34 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import crypt
-from quire.functions.strings import string_bytes
-from quire.sources import objects as o
-from quire.sources.parser import Document
 from quire.sources.pdf import checked, rows_of
+from quire.sources.sealing import seal
 
 KEYS = "doc_id string, method string, key binary, password_fits boolean"
-_METHODS = {"/V2": "rc4", "/AESV2": "aes", "/Identity": "none", "/None": "none"}
-
-
-def _raw(value: o.Value | None, doc: Document) -> bytes:
-    value = doc.resolve(value)
-    return string_bytes(value.text) if isinstance(value, o.Atom) and value.kind in ("string", "hex") else b""
-
-
-def method_of(held: dict[str, o.Value], doc: Document) -> tuple[str, int] | None:
-    """How streams are sealed, and the key's bits; None for schemes that aren't known."""
-    number = lambda key, default: o.integer(doc.resolve(held.get(key))) or default
-    version = number("/V", 0)
-    if version in (1, 2):
-        return "rc4", number("/Length", 40)
-    if version != 4:
-        return None
-    name = o.name_of(doc.resolve(held.get("/StmF"))) or "/Identity"
-    if name == "/Identity":
-        return "none", 128
-    chosen = o.entries(doc.resolve(o.entries(doc.resolve(held.get("/CF"))).get(name)))
-    method = _METHODS.get(o.name_of(doc.resolve(chosen.get("/CFM"))) or "")
-    return (method, 128) if method else None
 
 
 def keys(content: DataFrame, password: bytes = b"", mode: str = "PERMISSIVE") -> DataFrame:
@@ -45,24 +21,16 @@ def keys(content: DataFrame, password: bytes = b"", mode: str = "PERMISSIVE") ->
         doc = checked(key, data, mode)
         if doc is None or doc.status != "encrypted":
             return
-        held = o.entries(doc.resolve(doc.trailer.get("/Encrypt")))
-        found = method_of(held, doc)
-        ids = doc.resolve(doc.trailer.get("/ID"))
-        first = _raw(ids[0], doc) if isinstance(ids, list) and ids else b""
-        revision = o.integer(doc.resolve(held.get("/R"))) or 2
-        permissions = o.integer(doc.resolve(held.get("/P"))) or 0
-        if found is None:
-            yield key, None, None, False
-            return
-        made = crypt.document_key(password, _raw(held.get("/O"), doc), permissions, first, revision, found[1])
-        yield key, found[0], made, crypt.password_fits(made, _raw(held.get("/U"), doc), first, revision)
+        found = seal(doc, password)
+        yield (key, found.default, found.key, found.fits) if found else (key, None, None, False)
 
     return rows_of(content, KEYS, make)
 
 
 def unsealed(objects: DataFrame, found: DataFrame) -> DataFrame:
     """The object table with streams decrypted where the document has a key; cross-reference streams are never sealed,
-    and a stream with a filter of its own for encryption keeps its bytes if that is the identity."""
+    and a stream that names a filter of its own for encryption keeps its bytes. The password that sources.pdf's tables take
+    opens those as well, in the tasks that parse."""
     both = objects.join(found.select("doc_id", "method", "key"), "doc_id", "left")
     sealed = F.col("stream").isNotNull() & F.coalesce(F.col("type") != "/XRef", F.lit(True)) & ~F.array_contains("filter", "/Crypt")
     n, g = F.col("objnum"), F.col("gennum")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import crypt
@@ -108,3 +109,86 @@ def test_encrypted_documents(spark):
     clear = secure.unsealed(pdf.objects(src), found).where("objnum = 4").collect()
     assert {(r.doc_id, bytes(r.stream)) for r in clear} == {(k, b"hello") for k in ("v1", "v2", "v4", "open")}
     assert {r.doc_id: r.status for r in pdf.documents(src).collect()}["v1"] == "encrypted"
+
+
+def test_password_opens_all_tables(spark):
+    src = files(spark, v1=sealed(1, 2, "rc4"), v2=sealed(2, 3, "rc4"), v4=sealed(4, 4, "aes"), open=build(BASE))
+    read = {r.doc_id: bytes(r.content) for r in pdf.pages(src, password=b"pw").collect()}
+    assert read == dict.fromkeys(("v1", "v2", "v4", "open"), b"hello")
+    status = {r.doc_id: (r.status, len(r.problems)) for r in pdf.documents(src, password=b"pw").collect()}
+    assert status == dict.fromkeys(("v1", "v2", "v4"), ("decrypted", 0)) | {"open": ("ok", 0)}
+    wrong = pdf.documents(src.where("doc_id = 'v2'"), password=b"no").first()
+    assert wrong.status == "decrypted" and "password" in wrong.problems[0]
+    clear = compose.rewrite(src, password=b"pw")
+    assert {page_texts(r)[0] for r in clear.collect()} == {"hello"} and pdf.documents(clear).where("status != 'ok'").count() == 0
+    plan = spark.createDataFrame([("x", 1, "v4", 1, True), ("x", 2, "v1", 1, True)], "out_doc string, out_page int, doc_id string, page_no int, whole boolean")
+    assert page_texts(compose.compose(src, plan, password=b"pw").first()) == ["hello", "hello"]
+
+
+def test_aes_is_sparks(spark):
+    datas = [b"", b"x", b"y" * 15, b"z" * 16, bytes(range(256)) * 5]
+    key = bytes(range(16))
+    rows = spark.createDataFrame([(x,) for x in datas], "d binary").select("d", F.aes_encrypt("d", F.lit(key), F.lit("CBC"), F.lit("PKCS")).alias("e")).collect()
+    assert all(crypt.aes(key, bytes(r.e)) == bytes(r.d) for r in rows)
+    for bad in (b"", b"a" * 16, b"a" * 33, bytes(32)):
+        with pytest.raises(ValueError):
+            crypt.aes(key, bad)
+
+
+def test_own_crypt_filters():
+    first, owner = b"0123456789abcdef", b"o" * 32
+    key = crypt.document_key(b"", owner, -4, first, 4, 128)
+    user = crypt.user_hash(key, first, 4).ljust(32, b"\0")
+    body = crypt.rc4(crypt.object_key(key, 4, 0, False), b"hello")
+
+    def made(entries: bytes, data: bytes) -> bytes:
+        held = b"<</Filter /Standard /V 4 /R 4 /Length 128 /P -4 /O <%s> /U <%s> /StmF /Identity /CF <</Own <</CFM /V2>>>>>>" % (owner.hex().encode(), user.hex().encode())
+        return build(BASE | {4: b"<<%s /Length %d>>\nstream\n%s\nendstream" % (entries, len(data), data), 9: held}, trailer=b"/Root 1 0 R /Encrypt 9 0 R /ID [<%s> <%s>]" % (first.hex().encode(), first.hex().encode()))
+
+    text = lambda data: pdf.contents(parse(data, b"").pages[0][1], parse(data, b""))
+    assert text(made(b"", b"hello")) == b"hello"  # the default is the identity
+    assert text(made(b"/Filter /Crypt /DecodeParms <</Name /Own>>", body)) == b"hello"
+    assert text(made(b"/Filter [/Crypt] /DecodeParms [<</Name /Own>>]", body)) == b"hello"
+    assert text(made(b"/Filter [/Crypt]", b"hello")) == b"hello"
+    unknown = parse(made(b"/Filter [/Crypt] /DecodeParms [<</Name /Other>>]", body), b"")
+    assert unknown.status == "decrypted" and any("Other" in p.message for p in unknown.problems)
+
+
+def test_search_and_hooks(spark):
+    image = o.Stream({"/Type": o.name("XObject"), "/Subtype": o.name("Image"), "/Width": o.number(50), "/Height": o.number(100)}, b"\0" * 9)
+    form = o.Stream({"/Type": o.name("XObject"), "/Subtype": o.name("Form"), "/BBox": [o.number(v) for v in (0, 0, 7, 8)]}, b"BT (shown) Tj ET")
+    page = {"/Resources": {"/XObject": {"/I": image, "/F": form}}, "/Hidden": {"/Deep": {"/Type": o.name("Thing")}}}
+    src = files(spark, a=from_pages([page, page]), bad=b"x")
+    found = pdf.found(src).orderBy("ord").collect()
+    assert [(r.type, r.subtype, r.length) for r in found] == [("/XObject", "/Form", 16), ("/XObject", "/Image", 9)] and all(r.objnum for r in found)
+    assert [(r.type, r.objnum) for r in pdf.found(src, ("/Thing",), (None,)).collect()] == [("/Thing", None)] * 2
+    assert pdf.found(src, ("/Thing",), (None,), ("/Parent", "/Hidden")).count() == 0
+    count = lambda **more: [r.num_pages for r in pdf.documents(compose.fragments(src, **more)).collect()]
+    assert count() == [2] and count(image_only=True) == [1] and count(ignore=lambda s: True) == [] and count(no_follow=("/Parent", "/Resources")) == []
+    wrapped = compose.fragments(src, wrap=lambda s, doc: {"/Contents": o.Stream({}, b"own %d" % len(s.data))})
+    assert sorted(page_texts(wrapped.first())) == ["own 16", "own 9"]
+
+
+def test_addresses(spark):
+    src = files(spark, **{"a.pdf": document(["(one) Tj", "(two) Tj"]), "b.pdf": document(["(b) Tj"])})
+    uris = spark.createDataFrame([(1, "a.pdf#page=2"), (2, "a.pdf"), (3, "a.pdf#page=9"), (4, "c.pdf"), (5, None), (6, "b.pdf#page=1&viewrect=0,0,.5,1"), (6, "b.pdf#page=1&viewrect=0,0,.5,1"), (7, "page=1")], "n int, uri string")
+    rows = sorted((r.n, bytes(r.content) if r.content else None, r.viewrect) for r in pdf.addressed(uris, src).collect())
+    assert rows == [(1, b"(two) Tj", None), (2, b"(one) Tj", None), (3, None, None), (4, None, None), (5, None, None), (6, b"(b) Tj", [0, 0, 0.5, 1]), (6, b"(b) Tj", [0, 0, 0.5, 1]), (7, None, None)]
+    assert pdf.addressed(uris.limit(0), src).count() == 0 and pdf.addressed(uris, src.limit(0)).where("content IS NOT NULL").count() == 0
+
+
+def test_writer_options(spark):
+    src = files(spark, a=document(["(long) Tj " * 40, "x"]))
+    some = pdf.objects(compose.rewrite(src, compress=lambda s: len(s.data) > 50)).where("kind = 'stream'").collect()
+    assert sorted((len(r.filter), r.length > 300) for r in some) == [(0, False), (1, False)]
+    shouted = compose.rewrite(src, user_format=lambda v: o.Atom("string", "(!)") if isinstance(v, o.Atom) and v.kind == "string" else v, info={"/Title": o.Atom("string", "(t)")})
+    assert '"(!)"' in pdf.documents(shouted).first().info
+    assert pdf.documents(compose.rewrite(src, canonical=True)).first().num_objects > pdf.documents(src).first().num_objects
+
+
+def test_folders(spark, tmp_path):
+    from quire.sources.shared import file_system
+
+    with pytest.raises(ValueError):
+        compose.save(files(spark, a=b"x"), "nowhere://bucket/x")
+    assert file_system(f"file://{tmp_path}")[1] == str(tmp_path)

@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -195,3 +196,79 @@ def test_tables(spark):
     assert streams.where("objnum = 4 AND doc_id = 'b'").first().length > 80
     made = pdf.assemble(spark.createDataFrame([(1, 2, "two"), (1, 1, "one"), (2, 1, None)], "k int, n int, t string"), "k", "n", "t", compress=True)
     assert {(r.doc_id, r.page_no, bytes(r.content)) for r in pdf.pages(made).collect()} == {("1", 1, b"one"), ("1", 2, b"two"), ("2", 1, b"")}
+
+
+def damaged(data: bytes, rnd: random.Random) -> bytes:
+    """A few random changes: bytes replaced, cut out, doubled, numbers made large or negative, superscript digits."""
+    out = bytearray(data)
+    for _ in range(rnd.randint(1, 4)):
+        a = rnd.randrange(len(out))
+        b = min(len(out), a + rnd.choice((1, 2, 9, 40)))
+        kind = rnd.randrange(6)
+        if kind == 0:
+            out[a] = rnd.randrange(256)
+        elif kind == 1:
+            del out[a:b]
+        elif kind == 2:
+            out[a:a] = out[a:b]
+        elif kind == 3:
+            out[a:b] = rnd.choice((b"99999999999999999999", b"-1", b"\xb2\xb3", b"4294967296", b"[", b"<<", b"(", b" 0 R", b"endobj", b"1e9", b"null"))
+        elif kind == 4:
+            out[a:b] = bytes(rnd.randrange(256) for _ in range(b - a))
+        else:
+            digits = [i for i, c in enumerate(out) if 48 <= c < 58]
+            if digits:
+                out[rnd.choice(digits)] = rnd.choice(b"0123456789")
+    return bytes(out)
+
+
+def with_object_stream() -> bytes:
+    inner = b"<</Type /Catalog /Pages 2 0 R>> <</Type /Pages /Kids [3 0 R] /Count 1>> <</Type /Page /Parent 2 0 R>>"
+    places = [0, inner.index(b"<</Type /Pages "), inner.index(b"<</Type /Page ")]
+    head = b" ".join(b"%d %d" % (n, p) for n, p in zip((1, 2, 3), places, strict=True)) + b" "
+    body = zlib.compress(head + inner)
+    out = b"%PDF-1.5\n"
+    at = len(out)
+    out += b"5 0 obj\n<</Type /ObjStm /N 3 /First %d /Filter /FlateDecode /Length %d>>\nstream\n%s\nendstream\nendobj\n" % (len(head), len(body), body)
+    start = len(out)
+    rows = b"".join(struct.pack(">BHB", *r) for r in ((0, 0, 255), (2, 5, 0), (2, 5, 1), (2, 5, 2), (1, start, 0), (1, at, 0)))
+    return out + b"4 0 obj\n<</Type /XRef /W [1 2 1] /Size 6 /Root 1 0 R /Length %d>>\nstream\n%s\nendstream\nendobj\nstartxref\n%d\n%%%%EOF\n" % (len(rows), rows, start)
+
+
+@pytest.mark.parametrize("kind", ["table", "stream", "written"])
+def test_damage_never_ends_a_job(kind):
+    whole = {"table": build(BASE), "stream": with_object_stream(), "written": from_pages([{"/Contents": o.Stream({}, b"q Q"), "/Note": o.Atom("string", "(a(b)c)")}] * 3, compress=True)}[kind]
+    assert parse(whole).status == "ok" and len(parse(whole).pages) == (3 if kind == "written" else 1)
+    rnd = random.Random(kind)
+    for _ in range(3500):
+        data = damaged(whole, rnd)
+        for password in (None, b""):
+            doc = parse(data, password)
+            assert doc.status in ("ok", "failed", "encrypted", "decrypted")
+            assert doc.status != "failed" or doc.problems
+
+
+def test_damaged_counts_cost_nothing():
+    many = with_object_stream().replace(b"/Size 6", b"/Size 999999999999")
+    assert parse(many).status == "ok" and len(parse(many).objects) == 5
+    table = build(BASE).replace(b"xref\n0 1\n", b"xref\n0 99999999999999\n", 1)
+    assert parse(table).status in ("ok", "failed")
+
+
+def test_wrapping_by_definition():
+    rnd = random.Random(3)
+    for _ in range(300):
+        parts = ["x" * rnd.randint(1, 90) for _ in range(rnd.randint(0, 30))]
+        out = wrapped(parts, "<<", ">>")
+        assert out.replace("\n  ", " ") == "<<" + " ".join(parts) + ">>"
+        lines = out[2:-2].split("\n  ")
+        if sum(map(len, parts)) <= 70:
+            assert len(lines) == 1
+            continue
+        for line, after in zip(lines, lines[1:], strict=False):  # no line could have taken the next part
+            assert len(line) + 1 + len(after.split(" ")[0]) + 1 > 71
+        assert all(len(line) + 1 <= 71 or " " not in line for line in lines)
+
+
+def test_numbers_are_ascii():
+    assert [v.kind for v in map(lambda x: parse(build(BASE | {5: x})).objects.get((5, 0)), (b"12", b"-1.5", b".5", b"\xb2", b"1e5"))] == ["number", "number", "number", "keyword", "keyword"]
