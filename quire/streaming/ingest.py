@@ -22,8 +22,9 @@ def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFram
 
 
 def newest(stream: DataFrame, keys: list[str], time: str, columns: list[str], late: str = "1 day") -> DataFrame:
-    """The newest row of each key so far; rows later than the watermark are dropped with their state (update or complete mode)."""
-    held = stream.withWatermark(time, late).groupBy(*keys).agg(F.max_by(F.struct(time, *columns), time).alias("_new"))
+    """The newest row of each key within the watermark, for update mode: a key comes again whenever it has a newer row, and its
+    state is dropped once the watermark has passed it. Of rows of one time the one with the larger columns counts."""
+    held = stream.withWatermark(time, late).groupBy(*keys, F.window(time, late).alias("_span")).agg(F.max(F.struct(time, *columns)).alias("_new"))
     return held.select(*keys, F.col(f"_new.{time}").alias(time), *[F.col(f"_new.{c}").alias(c) for c in columns])
 
 
@@ -38,9 +39,23 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
 
 
 def drain_newest(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """The newest rows so far, rewritten as a whole at the end of each round."""
+    """Keeps the rows of newest() below a folder, a table for each batch, named by its number.
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    A batch holds the keys that it has news of. One that runs again after a failure writes its own table anew, and readers see
+    whole tables only. newest_rows() puts them together; merge() does the same once and for all."""
 
-    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:010d}")
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def newest_rows(spark: SparkSession, path: str, keys: list[str], time: str, columns: list[str]) -> DataFrame:
+    """What the batches below a folder say of each key at last; aggregated before the shuffle."""
+    held = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return held.groupBy(*keys).agg(F.max(F.struct(time, *columns)).alias("_new")).select(*keys, F.col(f"_new.{time}").alias(time), *[F.col(f"_new.{c}").alias(c) for c in columns])
+
+
+def merge(spark: SparkSession, path: str, out: str, keys: list[str], time: str, columns: list[str]) -> None:
+    """The newest rows so far as one table in a new folder; the batches stay until their owner deletes them."""
+    newest_rows(spark, path, keys, time, columns).write.parquet(out)
