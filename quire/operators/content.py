@@ -228,6 +228,15 @@ def product(m: Matrix, n: Matrix) -> Matrix:
     return a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u
 
 
+def replayed(ops: DataFrame, doc: str = "doc_id", ord: str = "ord") -> DataFrame:
+    """(doc, content): operators written back as streams, in order, a line each. What operators() reads from them is the same.
+
+    A stream's operators meet in one row. Null operands are left out; a document without operators isn't there."""
+    line = F.array_join(F.concat("operands", F.array("op")), " ")
+    held = F.array_sort(F.collect_list(F.struct(F.col(ord).alias("o"), line.alias("s"))))
+    return ops.groupBy(doc).agg(F.encode(F.array_join(F.transform(held, lambda x: x["s"]), "\n"), "ISO-8859-1").alias("content"))
+
+
 FONT_MAP = "doc_id string, code int, text string"
 _BFCHAR = re.compile(r"beginbfchar(.*?)endbfchar", re.S)
 _PAIR = re.compile(r"(<[^>]*>)\s*(<[^>]*>)")
@@ -254,7 +263,8 @@ def font_maps(content: DataFrame) -> DataFrame:
 
 
 def page_text(ops: DataFrame, doc: str = "doc_id", ord: str = "ord") -> DataFrame:
-    """(doc, text): what text operators show, in order, a line for each line that they start."""
+    """(doc, text): what text operators show, in order, a line for each line that they start. A document without any has the empty
+    text; one without rows isn't there. A stream's operators meet in one row, as its text does."""
     line = F.when(F.col("op").isin("'", '"', "T*", "Td"), "\n").otherwise("")
     part = F.struct(F.col(ord).alias("o"), F.concat(line, F.coalesce("shown", F.lit(""))).alias("s"))
     held = F.array_sort(F.collect_list(F.when(F.col("op").isin(*GROUPS["text"]), part)))

@@ -2,6 +2,10 @@
 
 Frames have a document column and a page number from 1; both names are parameters. Nothing collects, and only frames
 whose size is a parameter of the call (ranges, one stamp) are joined to all others.
+
+Rows with a null page number have no place: they are in no range, and on no sheet; rows with a null document are one document.
+Repeated rows are pages of their own, in any order among each other. Empty tables give empty ones. Columns that an operator
+adds must not be there already; all others are carried.
 """
 
 from __future__ import annotations
@@ -12,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Pages that are numbered together.
+RANGE = 4096
+
+
 def _ranges(page: Column, ranges: list[tuple[int, int]]) -> list[Column]:
     return [page.between(a, b) for a, b in ranges]
 
@@ -25,9 +33,18 @@ def subset(pages: DataFrame, ranges: list[tuple[int, int]], doc: str = "doc_id",
 
 
 def concatenate(parts: list[DataFrame], by: str | None = None, page: str = "page_no") -> DataFrame:
-    """Pages of all parts behind each other; adds part and out_page. `by` names what the result is numbered within."""
+    """Pages of all parts behind each other; adds part and out_page. `by` names what the result is numbered within.
+
+    Without it all parts are one sequence, numbered range by range of pages, so that no task sorts them all."""
     every = reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(k)) for k, p in enumerate(parts)])
-    return every.withColumn("out_page", F.row_number().over(Window.partitionBy(by or F.lit(0)).orderBy("part", page)))
+    if by:
+        return every.withColumn("out_page", F.row_number().over(Window.partitionBy(by).orderBy("part", page)))
+    every = every.withColumn("_range", F.coalesce(F.floor(F.col(page) / RANGE), F.lit(-1)))
+    counts = every.groupBy("part", "_range").agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("part", "_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = counts.select("part", "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy("part", "_range").orderBy(page))
+    return every.withColumn("_in", within).join(counts, ["part", "_range"]).withColumn("out_page", (F.col("_ahead") + F.col("_in")).cast("int")).drop("_range", "_in", "_ahead")
 
 
 def rotate(pages: DataFrame, degrees: int, ranges: list[tuple[int, int]] | None = None, page: str = "page_no", rotation: str = "rotate") -> DataFrame:

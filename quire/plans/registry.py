@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import crypt, filters, geometry, strings, values
+from quire.functions import crypt, filters, geometry, sql, strings, values
 from quire.operators import content, golden, graph, layout, pages
 from quire.sources import compose, objects, pdf, secure
 from quire.sources.shared import shared_dir, written
@@ -18,11 +18,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(text: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
+        if text is not None:
+            ORACLES[f.__name__] = text
         return f
 
     return add
@@ -62,10 +62,10 @@ def pdf_roundtrip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id::VARCHAR AS doc_id, (2 * count(*) + 2)::INT AS entries, count(*)::BIGINT AS page_objects, (3 * count(*) + 2)::BIGINT AS references_ FROM conversations GROUP BY conv_id")
 def pdf_object_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects, and references among them; each page refers to its parent and content, the tree to each page, and the trailer and catalog to one object each."""
-    made = written(conversation_files(spark, sf_dir), "files")
-    entries = pdf.xref(made).groupBy("doc_id").agg(F.count("*").cast("int").alias("entries"))
-    kinds = pdf.objects(made).groupBy("doc_id").agg(F.count(F.when(F.col("type") == "/Page", 1)).alias("page_objects"))
-    links = pdf.edges(pdf.nodes(made)).groupBy("doc_id").agg(F.count("*").alias("references_"))
+    made = written(pdf.parsed(conversation_files(spark, sf_dir), ("objects", "nodes", "xref")), "parsed")
+    entries = pdf.table(made, "xref").groupBy("doc_id").agg(F.count("*").cast("int").alias("entries"))
+    kinds = pdf.table(made, "objects").groupBy("doc_id").agg(F.count(F.when(F.col("type") == "/Page", 1)).alias("page_objects"))
+    links = pdf.edges(pdf.table(made, "nodes")).groupBy("doc_id").agg(F.count("*").alias("references_"))
     return entries.join(kinds, "doc_id").join(links, "doc_id")
 
 
@@ -183,6 +183,21 @@ def content_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.groupBy("op", content.operator_group(F.col("op")).alias("op_group"), F.size("operands").alias("operands"), "shown").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT doc_id || '/' || page_no AS doc_id, {len(EVERY) + 1}::BIGINT AS operators, coalesce(text, '') AS text FROM {TURNS}")
+def content_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operators read, written back and read again."""
+    streams = turns(spark, sf_dir).select(F.concat_ws("/", "doc_id", "page_no").alias("doc_id"), F.concat(strings.utf16_hex_column(F.coalesce("text", F.lit(""))), F.lit(" Tj\n" + "\n".join(EVERY.values()))).cast("binary").alias("content"))
+    again = content.operators(content.replayed(content.operators(streams)))
+    return again.groupBy("doc_id").agg(F.count("*").alias("operators"), F.max(F.when(F.col("ord") == 0, F.col("shown"))).alias("text"))
+
+
+@query("SELECT c_custkey, c_name AS text FROM customer")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings read by a function registered for SQL."""
+    sql.register(spark)
+    return table(spark, sf_dir, "customer").select("c_custkey", strings.literal_column(F.col("c_name")).alias("s")).selectExpr("c_custkey", "pdf_string_text(s) AS text")
+
+
 @query("SELECT conv_id::VARCHAR || '/' || (turn + 1) AS doc_id, coalesce(text, '') AS text FROM conversations")
 def content_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole turns shown by a text operator and read back."""

@@ -38,8 +38,7 @@ def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
 
 def rows_of(content: DataFrame, ddl: str, make: Callable[[str, bytes], Iterator[tuple]], at_once: int = 4096) -> DataFrame:
     """A table from a generator of rows a document, in batches, so that a large document's rows needn't be held together."""
-    fields = [f.strip().rsplit(" ", 1) if "<" not in f else f.strip().split(" ", 1) for f in ddl.split(", ")]
-    schema = pa.schema([(n, _TYPES[t]) for n, t in fields])
+    schema = pa.schema([(n, _TYPES[t]) for n, t in _fields(ddl)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -82,56 +81,104 @@ def plain(value: o.Value | None) -> object:
     return {k: plain(held[k]) for k in sorted(held)}
 
 
-def documents(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
-    def make(key: str, data: bytes) -> Iterator[tuple]:
-        doc = checked(key, data, mode, password)
-        if doc is not None:
-            info = doc.resolve(doc.trailer.get("/Info"))
-            notes = [f"{p.level}: {p.message} ({p.line}, {p.column})" for p in doc.problems]
-            yield key, doc.version, bool(doc.sections) and doc.sections[0].is_stream, len(doc.pages), len(doc.objects), doc.status, json.dumps(plain(info), ensure_ascii=False) if info else None, notes
+def _document_rows(doc: Document) -> Iterator[tuple]:
+    info = doc.resolve(doc.trailer.get("/Info"))
+    notes = [f"{p.level}: {p.message} ({p.line}, {p.column})" for p in doc.problems]
+    yield doc.version, bool(doc.sections) and doc.sections[0].is_stream, len(doc.pages), len(doc.objects), doc.status, json.dumps(plain(info), ensure_ascii=False) if info else None, notes
 
-    return rows_of(content, DOCUMENTS, make)
 
+def _object_rows(doc: Document, decompress: bool = False) -> Iterator[tuple]:
+    for (n, g), value in sorted(doc.objects.items()):
+        held, stream = o.entries(value), value.data if isinstance(value, o.Stream) else None
+        names = doc.resolve(held.get("/Filter"))
+        names = [x for x in map(o.name_of, names if isinstance(names, list) else [names]) if x]
+        if decompress and isinstance(value, o.Stream):
+            stream, done = decoded(value, doc)
+            names = [] if done else names
+        kind = "stream" if stream is not None else "dict" if isinstance(value, dict) else "array" if isinstance(value, list) else "ref" if isinstance(value, o.Ref) else value.kind
+        yield n, g, kind, o.name_of(doc.resolve(held.get("/Type"))), o.name_of(doc.resolve(held.get("/Subtype"))), json.dumps(plain(value), ensure_ascii=False), stream, names, len(stream) if stream is not None else None
 
-def objects(content: DataFrame, mode: str = "PERMISSIVE", decompress: bool = False, password: bytes | None = None) -> DataFrame:
-    """Indirect objects, values as JSON of lexemes; streams as stored, or decoded where that is asked for and possible."""
-
-    def make(key: str, data: bytes) -> Iterator[tuple]:
-        doc = checked(key, data, mode, password)
-        for (n, g), value in sorted(doc.objects.items()) if doc else ():
-            held, stream = o.entries(value), value.data if isinstance(value, o.Stream) else None
-            names = doc.resolve(held.get("/Filter"))
-            names = [x for x in map(o.name_of, names if isinstance(names, list) else [names]) if x]
-            if decompress and isinstance(value, o.Stream):
-                stream, done = decoded(value, doc)
-                names = [] if done else names
-            kind = "stream" if stream is not None else "dict" if isinstance(value, dict) else "array" if isinstance(value, list) else "ref" if isinstance(value, o.Ref) else value.kind
-            yield key, n, g, kind, o.name_of(doc.resolve(held.get("/Type"))), o.name_of(doc.resolve(held.get("/Subtype"))), json.dumps(plain(value), ensure_ascii=False), stream, names, len(stream) if stream is not None else None
-
-    return rows_of(content, OBJECTS, make)
-
-
-def nodes(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
-    """Every value of every object, with its place in its parent; node 0 is the object itself. The trailer is object 0."""
 
-    def walk(key: str, n: int, g: int, top: o.Value) -> Iterator[tuple]:
+def _node_rows(doc: Document) -> Iterator[tuple]:
+    for (n, g), top in sorted([*doc.objects.items(), ((0, 65535), doc.trailer)]):
         todo, made = [(top, -1, None, 0)], 0
         while todo:
             value, parent, name, ord_ = todo.pop()
             me, made = made, made + 1
             ref = value if isinstance(value, o.Ref) else (None, None)
             kind = "ref" if isinstance(value, o.Ref) else "array" if isinstance(value, list) else "stream" if isinstance(value, o.Stream) else "dict" if isinstance(value, dict) else value.kind
-            yield key, n, g, me, parent if parent >= 0 else None, name, ord_, kind, value.text if isinstance(value, o.Atom) else None, *ref
+            yield n, g, me, parent if parent >= 0 else None, name, ord_, kind, value.text if isinstance(value, o.Atom) else None, *ref
             held = o.entries(value)
             below = [(v, me, k, i) for i, (k, v) in enumerate(sorted(held.items()))] if held else [(v, me, None, i) for i, v in enumerate(value)] if isinstance(value, list) else []
             todo += reversed(below)
 
+
+def _page_rows(doc: Document) -> Iterator[tuple]:
+    for k, (ref, page) in enumerate(doc.pages, 1):
+        media = box(page.get("/MediaBox"), doc)
+        yield k, *(ref or (None, None)), media, box(page.get("/CropBox"), doc) or media, o.integer(doc.resolve(page.get("/Rotate"))) or 0, contents(page, doc)
+
+
+def _xref_rows(doc: Document) -> Iterator[tuple]:
+    for revision, section in enumerate(reversed(doc.sections)):
+        for (n, g), e in sorted(section.entries.items()):
+            yield revision, n, g, "compressed" if e.container else "plain", e.offset, e.container or None, e.index if e.container else None
+
+
+def _table(content: DataFrame, ddl: str, rows: Callable[[Document], Iterator[tuple]], mode: str, password: bytes | None) -> DataFrame:
     def make(key: str, data: bytes) -> Iterator[tuple]:
         doc = checked(key, data, mode, password)
-        for (n, g), value in sorted([*doc.objects.items(), ((0, 65535), doc.trailer)]) if doc else ():
-            yield from walk(key, n, g, value)
+        for row in rows(doc) if doc else ():
+            yield key, *row
+
+    return rows_of(content, ddl, make)
+
+
+def documents(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
+    return _table(content, DOCUMENTS, _document_rows, mode, password)
+
+
+def objects(content: DataFrame, mode: str = "PERMISSIVE", decompress: bool = False, password: bytes | None = None) -> DataFrame:
+    """Indirect objects, values as JSON of lexemes; streams as stored, or decoded where that is asked for and possible."""
+    return _table(content, OBJECTS, lambda doc: _object_rows(doc, decompress), mode, password)
 
-    return rows_of(content, NODES, make)
+
+def nodes(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
+    """Every value of every object, with its place in its parent; node 0 is the object itself. The trailer is object 0."""
+    return _table(content, NODES, _node_rows, mode, password)
+
+
+#: The tables of a parsed document, their columns and their rows.
+TABLES = {"documents": (DOCUMENTS, _document_rows), "pages": (PAGES, _page_rows), "objects": (OBJECTS, _object_rows), "nodes": (NODES, _node_rows), "xref": (XREF, _xref_rows)}
+
+
+def _fields(ddl: str) -> list[list[str]]:
+    return [f.strip().rsplit(" ", 1) if "<" not in f else f.strip().split(" ", 1) for f in ddl.split(", ")]
+
+
+def parsed(content: DataFrame, tables: tuple[str, ...] = tuple(TABLES), mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
+    """(doc_id, and an array of rows for each table): documents read once for several tables.
+
+    Written as Parquet, each table is read from it by table() without the others. A document's rows meet in one row, so very
+    large documents are better read table by table."""
+    kinds = {name: _fields(TABLES[name][0])[1:] for name in tables}
+    schema = pa.schema([("doc_id", pa.string())] + [(name, pa.list_(pa.struct([(n, _TYPES[t]) for n, t in kinds[name]]))) for name in tables])
+    ddl = ", ".join(["doc_id string", *[f"{name} array<struct<{', '.join(f'{n}: {t}' for n, t in kinds[name])}>>" for name in tables]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                doc = checked(key, data, mode, password)
+                if doc is not None:
+                    held = [[dict(zip((n for n, _ in kinds[name]), row, strict=True)) for row in TABLES[name][1](doc)] for name in tables]
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), *[pa.array([rows], schema.field(name).type) for name, rows in zip(tables, held, strict=True)]], schema=schema)
+
+    return content.select(F.col("doc_id").cast("string"), F.col("content").cast("binary")).mapInArrow(run, ddl)
+
+
+def table(found: DataFrame, name: str) -> DataFrame:
+    """One of the tables of parsed(), as the function of that name gives it."""
+    return found.select("doc_id", F.inline(name))
 
 
 def edges(found: DataFrame) -> DataFrame:
@@ -154,14 +201,7 @@ def contents(page: dict[str, o.Value], doc: Document) -> bytes:
 
 def pages(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
     """Pages in order, numbered from 1, with what they inherit; a missing crop box is the media box."""
-
-    def make(key: str, data: bytes) -> Iterator[tuple]:
-        doc = checked(key, data, mode, password)
-        for k, (ref, page) in enumerate(doc.pages, 1) if doc else ():
-            media = box(page.get("/MediaBox"), doc)
-            yield key, k, *(ref or (None, None)), media, box(page.get("/CropBox"), doc) or media, o.integer(doc.resolve(page.get("/Rotate"))) or 0, contents(page, doc)
-
-    return rows_of(content, PAGES, make)
+    return _table(content, PAGES, _page_rows, mode, password)
 
 
 def search(doc: Document, types: tuple[str | None, ...] = ("/XObject", None), subtypes: tuple[str | None, ...] = ("/Form", "/Image"), no_follow: tuple[str, ...] = ("/Parent",)) -> Iterator[tuple[o.Ref | None, o.Value]]:
@@ -212,14 +252,7 @@ def addressed(uris: DataFrame, content: DataFrame, uri: str = "uri", password: b
 
 def xref(content: DataFrame, mode: str = "PERMISSIVE", password: bytes | None = None) -> DataFrame:
     """Cross-reference entries of all revisions, numbered from 0 for the oldest."""
-
-    def make(key: str, data: bytes) -> Iterator[tuple]:
-        doc = checked(key, data, mode, password)
-        for revision, section in enumerate(reversed(doc.sections)) if doc else ():
-            for (n, g), e in sorted(section.entries.items()):
-                yield key, revision, n, g, "compressed" if e.container else "plain", e.offset, e.container or None, e.index if e.container else None
-
-    return rows_of(content, XREF, make)
+    return _table(content, XREF, _xref_rows, mode, password)
 
 
 def token_table(content: DataFrame, comments: bool = False) -> DataFrame:

@@ -192,3 +192,13 @@ def test_folders(spark, tmp_path):
     with pytest.raises(ValueError):
         compose.save(files(spark, a=b"x"), "nowhere://bucket/x")
     assert file_system(f"file://{tmp_path}")[1] == str(tmp_path)
+
+
+def test_one_reading_for_all_tables(spark):
+    src = files(spark, a=document(["(one) Tj", "(two) Tj"]), v2=sealed(2, 3, "rc4"), bad=b"x")
+    made = pdf.parsed(src, password=b"pw")
+    for name in pdf.TABLES:
+        one, all_ = getattr(pdf, name)(src, password=b"pw"), pdf.table(made, name)
+        assert one.columns == all_.columns and sorted(map(str, one.collect())) == sorted(map(str, all_.collect())), name
+    assert pdf.parsed(src, ("pages",)).columns == ["doc_id", "pages"] and pdf.parsed(src.limit(0)).count() == 0
+    assert pdf.parsed(src, mode="DROPMALFORMED").count() == 2

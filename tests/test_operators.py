@@ -41,6 +41,15 @@ def test_grid_and_halves(spark):
     assert rows(pages.twice(numbered(spark, 2)), "page_no", "copy", "turn") == [(1, 0, 0), (1, 1, 180), (2, 0, 180), (2, 1, 0)]
 
 
+def test_concatenation(spark, monkeypatch):
+    monkeypatch.setattr(pages, "RANGE", 3)
+    parts = [numbered(spark, 8, "a"), numbered(spark, 0), numbered(spark, 4, "b")]
+    out = pages.concatenate(parts)
+    assert [(r.out_page, r.doc_id, r.page_no) for r in out.orderBy("out_page").collect()] == [(k + 1, "a" if k < 8 else "b", k + 1 if k < 8 else k - 7) for k in range(12)]
+    assert set(out.columns) == {"doc_id", "page_no", "part", "out_page"}
+    assert rows(pages.concatenate(parts, by="doc_id"), "doc_id", "out_page") == [("a", k) for k in range(1, 9)] + [("b", k) for k in range(1, 5)]
+
+
 def test_empty_tables(spark):
     none = numbered(spark, 0)
     assert pages.subset(none, [(1, 2)]).count() == pages.booklet(none).count() == pages.grid(none).count() == 0
