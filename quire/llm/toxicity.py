@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes: insult (with a weight), threat, target, negation, reported speech, or none. Five small
-transducers read the classes of a clause side by side: the composed machine's state is the tuple of their states, and
-its outputs are the weights of what the clause says: a plain insult, one at a target, a threat, and the share that
-negation or reported speech takes back. A text's score comes from its clauses' weights by a logistic link.
+Words become classes: insult (with a weight), threat, target, negation, reported speech, or none. Small transducers read
+the classes of a clause: negation reaches a few words on, the others remember that their class occurred. Their transitions
+and the states that they end in have weights. Composed (states are tuples, weights are products) they make two machines: one
+gives what the insults of a clause are worth, one what its threat is worth. A text's score comes from its clauses' weights
+by a logistic link.
 
 Insults are seeds, plus words and word beginnings that labelled texts show to be toxic.
 """
@@ -41,46 +42,87 @@ STRIP = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 ENDS = (b".", b",", b";", b":", b"!", b"?")
 #: Words after a negation that it still reaches.
 REACH = 3
-#: Places of a mention among the features, the weakest first: negated, reported, plain, targeted.
+#: Features of mentions, the weakest first: negated, reported, plain, targeted.
 STRENGTH = (3, 4, 0, 1)
 FEATURES = ("plain", "targeted", "threats", "negated", "reported", "strongest", "density")
 ROWS = pa.schema([("doc_id", pa.int64())] + [(f, pa.float64()) for f in FEATURES])
 TERMS = pa.schema([("term", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
 
-def insult_step(state: int, kind: int) -> int:
-    """0 nothing yet, 1 an insult has been read."""
-    return 1 if kind == INSULT else state
+class Part:
+    """One transducer over word classes: its state starts at 0, a step has a weight, and so has the state that a clause ends in.
 
+    As it stands it reads whether a class has occurred, and `ends` are the weights of no and yes.
+    """
+
+    def __init__(self, kind: int, ends: tuple[float, float] = (1.0, 1.0)):
+        self.kind, self.ends = kind, ends
+
+    def step(self, state: int, kind: int) -> tuple[int, float]:
+        return (1 if kind == self.kind else state), 1.0
+
+    def end(self, state: int) -> float:
+        return self.ends[state]
 
-def threat_step(state: int, kind: int) -> int:
-    return 1 if kind == THREAT else state
 
+class Negation(Part):
+    """Its state is how many words the last negation still reaches; an insult within reach is worth `inside`."""
 
-def target_step(state: int, kind: int) -> int:
-    return 1 if kind == TARGET else state
+    def __init__(self, inside: float):
+        super().__init__(NEGATION)
+        self.inside = inside
 
+    def step(self, state: int, kind: int) -> tuple[int, float]:
+        return (REACH if kind == NEGATION else max(0, state - 1)), self.inside if kind == INSULT and state else 1.0
 
-def negation_step(state: int, kind: int) -> int:
-    """Words that the last negation still reaches."""
-    return REACH if kind == NEGATION else max(0, state - 1)
+    def end(self, state: int) -> float:
+        return 1.0
 
 
-def report_step(state: int, kind: int) -> int:
-    return 1 if kind == REPORT else state
+class Machine:
+    """Transducers composed: its state is the tuple of theirs, its weights are the products of theirs. States and transitions
+    are made as they are met, and kept."""
 
+    def __init__(self, *parts: Part):
+        self.parts, self.states, self.known, self.moves, self.ends = parts, [], {}, [], []
+        self._state((0,) * len(parts))
 
-PARTS = (insult_step, threat_step, target_step, negation_step, report_step)
+    def _state(self, state: tuple[int, ...]) -> int:
+        if state not in self.known:
+            self.known[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+            weight = 1.0
+            for part, s in zip(self.parts, state, strict=True):
+                weight *= part.end(s)
+            self.ends.append(weight)
+        return self.known[state]
+
+    def step(self, state: int, kind: int) -> tuple[int, float]:
+        found = self.moves[state].get(kind)
+        if found is None:
+            to, weight = [], 1.0
+            for part, s in zip(self.parts, self.states[state], strict=True):
+                s, w = part.step(s, kind)
+                to.append(s)
+                weight *= w
+            found = self.moves[state][kind] = self._state(tuple(to)), weight
+        return found
+
+
+#: What a negated insult is worth, one in a clause with a target, in reported speech; and a threat at a target.
+DENIED, AIMED, RETOLD, THREATENED = 0.3, 1.25, 0.5, 0.5
 
 
 class Grammar:
-    """The composed machine, whose states are made as they are met, and the classes of words."""
+    """Two composed machines, of insults and of threats, and the classes of words."""
 
     def __init__(self, weights: dict[bytes, float]):
         self.weights = weights
         self.fixed = {w.encode(): k for k, ws in SEEDS.items() if k != INSULT for w in ws.split()}
         self.known: dict[bytes, tuple[int, float]] = {}
-        self.moves: dict[tuple, dict[int, tuple]] = {}
+        self.insults = Machine(Negation(DENIED), Part(TARGET, (1.0, AIMED)), Part(REPORT, (1.0, RETOLD)))
+        self.threats = Machine(Part(THREAT, (0.0, THREATENED)), Part(TARGET, (0.0, 1.0)), Part(REPORT, (1.0, 0.0)))
 
     def kind(self, word: bytes) -> tuple[int, float]:
         """A word's class and weight; the strongest of the word and its listed beginnings counts."""
@@ -95,12 +137,6 @@ class Grammar:
                 self.known[word] = found
         return found
 
-    def step(self, state: tuple, kind: int) -> tuple:
-        row = self.moves.setdefault(state, {})
-        if kind not in row:
-            row[kind] = tuple(f(s, kind) for f, s in zip(PARTS, state, strict=True))
-        return row[kind]
-
     def features(self, text: str | None) -> tuple[float, ...]:
         """What the clauses of a whole text say; all 0 where no clause holds an insult or a threat."""
         found = words(text)
@@ -117,34 +153,32 @@ class Grammar:
             while last < len(found) - 1 and not found[last].endswith(ENDS):
                 last += 1
             self._clause(found[first : last + 1], out, heard)
+        for rank, weight in heard.values():
+            out[STRENGTH[rank]] += weight
         out[6] = (out[0] + out[1] + out[3] + out[4]) / (1 + len(found)) ** 0.5
         return tuple(out)
 
-    def _clause(self, clause: list[bytes], out: list[float], heard: dict[bytes, tuple[int, int]]) -> None:
-        """Adds a clause's weights. An insult counts once in a text, as what its strongest mention makes it: a later, stronger
-        mention takes the place of a weaker one, and another adds nothing."""
-        state, said = (0, 0, 0, 0, 0), []
+    def _clause(self, clause: list[bytes], out: list[float], heard: dict[bytes, tuple[int, float]]) -> None:
+        """Adds a clause: its threat, its weight if none is stronger, and its insults. An insult counts once in a text, as what
+        its strongest mention makes it, so neither the order of clauses nor another mention matters."""
+        state = threat = 0
+        said = []
         for w in clause:
             kind, weight = self.kind(w)
+            before = self.insults.states[state]
+            state, share = self.insults.step(state, kind)
+            threat, _ = self.threats.step(threat, kind)
             if kind == INSULT:
-                said.append((w.strip(STRIP), weight, state[3] > 0))
-            state = self.step(state, kind)
-        _, threat, target, _, report = state
-        whole = 0.0
-        for core, weight, denied in said:
-            at = 3 if denied else 4 if report else 1 if target else 0
-            rank, before = STRENGTH.index(at), heard.get(core)
-            if before is not None and before[0] >= rank:
-                continue
-            if before is not None:
-                out[before[1]] -= weight
-            heard[core] = (rank, at)
-            out[at] += weight
-            whole += 0.3 * weight if denied else weight
-        if threat and target and not report:
-            out[2] += 1.0
-            whole += 0.5
-        out[5] = max(out[5], whole * (0.5 if report else 1.25 if target else 1.0))
+                said.append((w.strip(STRIP), weight, share, before[0] > 0))
+        _, target, report = self.insults.states[state]
+        whole = {}
+        for core, weight, share, denied in said:
+            rank = 0 if denied else 1 if report else 3 if target else 2
+            heard[core] = max(heard.get(core, (0, 0.0)), (rank, weight))
+            whole[core] = max(whole.get(core, 0.0), weight * share)
+        threatened = self.threats.ends[threat]
+        out[2] += threatened > 0
+        out[5] = max(out[5], sum(whole.values()) * self.insults.ends[state] + threatened)
 
 
 def stems(core: bytes) -> list[bytes]:
@@ -225,7 +259,9 @@ def with_features(docs: DataFrame, weights: dict[bytes, float], *more: str) -> D
 
 def fitted(docs: DataFrame, labelled: DataFrame, sample: int) -> tuple[dict[bytes, float], np.ndarray, float]:
     ids = F.broadcast(label_sample(labelled, "toxic", FOLDS, HELD_OUT, sample))  # bounded by `sample`
-    weights, coef, bias = learn(written(docs.select("doc_id", "text").join(ids, "doc_id"), "toxic"))
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    # of rows of one id the largest text counts, so there are no more texts than labels
+    weights, coef, bias = learn(written(met.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y")), "toxic"))
     if not coef.any():
         coef, bias = np.array([1.0, 2.0, 2.0, 0.0, 0.5, 3.0, 0.0]), bias - 2.0
     return weights, coef, bias
@@ -239,7 +275,11 @@ def linked(coef: np.ndarray, bias: float, prefix: str = "") -> Column:
 
 
 def clean(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs` that aren't predicted toxic, with all their columns; texts stay where they are."""
+    """The rows of `docs` that aren't predicted toxic, with all their columns; texts stay where they are.
+
+    Null and empty texts say nothing and stay, unless nearly all labels are toxic; null ids are judged like others; repeated
+    rows stay or go together; an empty table stays empty; any other columns are carried, whatever their names.
+    """
     weights, coef, bias = fitted(docs, labelled, sample)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
