@@ -129,8 +129,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: in
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row a piece.
 
     A null text is the empty one; it and the empty text are the end id alone. Repeated rows, also with equal ids, are
-    packed one by one; null ids are carried. An empty table gives no piece. Workers keep the ids of `kept` pieces between
-    blanks; fewer cost time and change no result.
+    packed one by one; null ids are carried. An empty table gives no piece. Workers keep pieces between blanks and their ids in
+    `kept` bytes; fewer cost time and change no result.
     """
     cut = written(pieces(docs, vocabulary, end, size, kept), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
@@ -145,7 +145,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, size: in
             sequence, offset = plan.place(length, nth)
             yield batch(PLACED, sequence_id=sequence, offset=offset, **{c: b.column(c) for c in PLACED.names[:5]})
 
-    ranked = cut.join(counts.drop("n"), ["part", "length"]).withColumn("nth", F.col("nth") + F.col("ahead"))
+    # the counts grow with the number of tasks, so they are never broadcast
+    ranked = cut.join(counts.drop("n").hint("merge"), ["part", "length"]).withColumn("nth", F.col("nth") + F.col("ahead"))
     return ranked.select(*PLACED.names[:5], "nth").mapInArrow(tidy(assign), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
