@@ -154,13 +154,17 @@ def compiled(rules: list[tuple[Rule, float]], bias: float, prefix: str = "") ->
 
 
 def fitted(stats: DataFrame, labelled: DataFrame, sample: int) -> tuple[list[tuple[Rule, float]], float]:
-    train = stats.join(label_sample(labelled, "quality", FOLDS, HELD_OUT, sample), "doc_id").orderBy("doc_id", *STATS).limit(2 * sample)
+    train = stats.join(F.broadcast(label_sample(labelled, "quality", FOLDS, HELD_OUT, sample)), "doc_id").orderBy("doc_id", *STATS).limit(2 * sample)
     pdf = train.toPandas()
     return learn(pdf[list(STATS)].to_numpy(float), pdf["y"].to_numpy(float))
 
 
 def accepted(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs` that the classifier accepts, with all their columns; texts stay where they are."""
+    """The rows of `docs` that the classifier accepts, with all their columns; texts stay where they are.
+
+    Null and empty texts have all statistics 0 and are judged by them; null ids are judged like others and never learned from;
+    repeated rows stay or go together; without labels the score is 0.5, so nothing stays; an empty table stays empty.
+    """
     ids = F.broadcast(label_sample(labelled, "quality", FOLDS, HELD_OUT, sample).select("doc_id"))  # bounded by `sample`
     rules, bias = fitted(written(with_statistics(docs.join(ids, "doc_id", "left_semi")), "quality"), labelled, sample)
 
