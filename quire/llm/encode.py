@@ -1,7 +1,8 @@
 """Whole texts to token ids by the tokenizers library, each different piece between blanks encoded once.
 
 A byte-level vocabulary starts a new pre-token at every blank or line end that has a visible character beside it, and
-the word vocabulary drops white space, so pieces between blanks are encoded alone and their ids are joined. Texts in
+the word vocabulary drops white space, so pieces between blanks are encoded alone and their ids are joined. Pieces that are
+a word and marks go to the library's model without its patterns, others with them, many in one call each. Texts in
 which that could differ (runs of three white spaces, two at the end, special tokens) go to the library as they are.
 """
 
@@ -9,18 +10,22 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 from quire.llm.common import kept, slices, tokenizer_path
+from quire.llm.tokencount import byte_letters
 
-#: Bytes of pieces and ids that a worker keeps; beyond it those of the texts at hand stay, which costs time and changes no result.
-KEPT = 56 << 20
+#: Bytes of pieces and ids that a worker keeps.
+KEPT = 240 << 20
 #: What a piece takes beside its characters and ids: two objects and a place in the store.
 EACH = 180
 UNSAFE = re.compile(r"\s[ \n]\s|\s[ \n]\Z")
 SPACE = re.compile(r"\s")
 PER_CALL = 256
+#: A word of Latin letters with marks behind it: the vocabularies' patterns cut it between the two, whatever stands beside it.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 _encoders: dict[str, "PieceEncoder"] = {}
 kept("encoders", _encoders)
@@ -35,95 +40,114 @@ def encoder(name: str, most: int = KEPT) -> PieceEncoder:
 
 
 class PieceEncoder:
-    """encode() gives each text's ids as little-endian unsigned 32-bit integers; null is the empty text."""
+    """encode() gives each text's ids as little-endian unsigned 32-bit integers; null is the empty text.
+
+    Pieces are kept until they take more than `kept` bytes; then only those of the texts at hand stay, frequent ones among
+    them, which costs time and changes no result.
+    """
 
     def __init__(self, name: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library = Tokenizer.from_file(tokenizer_path(name))
         self.library.no_padding()
         self.library.no_truncation()
         self.byte_level = self._ids("\n") != b""
         self.kept, self.held, self.store = kept, 0, {}
+        self.marks = {"": b""}
+        self.bare = Tokenizer(self.library.model)  # words as its vocabulary writes them, cut at blanks
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        letters = {b: c for c, b in byte_letters().items()}
+        self.letters = {b: letters[b] for b in range(256)}  # bytes as byte-level vocabularies write them
+        self.lead = self.letters[32] if self.byte_level else ""
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.line = self._ids("\n")
         self.mark = "\n" if self.byte_level else " | "
-        self.cut = np.frombuffer(self._ids(self.mark), "<u4")
-        if len(self.cut) != 1:
-            raise ValueError(f"{name}: the mark between pieces must be one token")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _keep(self, piece: str, ids: bytes) -> None:
-        self.store[piece] = ids
-        self.held += EACH + len(piece) + len(ids)
-
-    def _fill(self, pieces: list[str], before: str, lead: bytes, start: int) -> None:
-        """Stores the ids of pieces that hold no mark: many of them in one call, cut at the mark's id."""
-        for i in range(0, len(pieces), PER_CALL * 16):
-            some = pieces[i : i + PER_CALL * 16]
-            calls = [some[k : k + PER_CALL] for k in range(0, len(some), PER_CALL)]
-            found = self.library.encode_batch_fast([self.mark.join([before + p[start:] for p in c]) for c in calls], add_special_tokens=False)
-            for c, e in zip(calls, found, strict=True):
+    def _marked(self, library: "Tokenizer", mark: str, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts that hold no mark: many of them in one call, cut at the mark's id."""
+        (cut,) = library.encode(mark, add_special_tokens=False).ids
+        for i in range(0, len(texts), PER_CALL * 16):
+            calls = [texts[k : k + PER_CALL] for k in range(i, min(i + PER_CALL * 16, len(texts)), PER_CALL)]
+            for c, e in zip(calls, library.encode_batch_fast([mark.join(c) for c in calls], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                ends = np.flatnonzero(ids == self.cut[0])
+                ends = np.flatnonzero(ids == cut)
                 if len(ends) != len(c) - 1:
-                    for p in c:
-                        self._keep(p, lead + self._ids(before + p[start:]))
+                    yield from (np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in c)
                     continue
                 data, at = ids.tobytes(), [0, *((ends + 1) * 4).tolist()]
-                to = [*(ends * 4).tolist(), len(data)]
-                self.store.update((p, lead + data[a:b]) for p, a, b in zip(c, at, to, strict=True))
-                self.held += EACH * len(c) + sum(map(len, c)) + len(data)
+                yield from [data[a:b] for a, b in zip(at, [*(ends * 4).tolist(), len(data)], strict=True)]
+
+    def _plain(self, pieces: set[str]) -> dict[str, bytes]:
+        """Those of the pieces that are a word and marks: the words as the vocabulary writes them, straight from its model."""
+        found = [m for m in map(PLAIN.fullmatch, pieces) if m]
+        words, ends = [m[1] for m in found], [m[2] for m in found]
+        if not self.byte_level:
+            words = [w.lower() for w in words]
+        words = [self.lead + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)) for w in words]
+        for end in set(ends).difference(self.marks) if len(self.marks) < 10_000 else ():
+            self.marks[end] = self._ids(end)
+        get = self.marks.get
+        return {m[0]: ids + (get(end) if end in self.marks else self._ids(end)) for m, end, ids in zip(found, ends, self._marked(self.bare, " | ", words), strict=True)}
+
+    def _encoded(self, pieces: set[str]) -> dict[str, bytes]:
+        """Different pieces with their ids."""
+        out = self._plain(pieces)
+        pieces = pieces.difference(out)
+        if not self.byte_level:
+            some = [p for p in pieces if p and "|" not in p and not SPACE.search(p)]
+            out.update(zip(some, self._marked(self.library, self.mark, some), strict=True))
+        else:
+            some = [p for p in pieces if p and not SPACE.search(p)]
+            out.update(zip(some, self._marked(self.library, self.mark, [" " + p for p in some]), strict=True))
+            some = [p for p in pieces if len(p) > 1 and p[0] == "\n" and not SPACE.search(p, 1)]
+            out.update(zip(some, (self.line + ids for ids in self._marked(self.library, self.mark, [p[1:] for p in some])), strict=True))
+        for p in pieces.difference(out):
+            out[p] = self._ids(p if p[:1] == "\n" or not self.byte_level else " " + p)
+        return out
 
     def _learn(self, pieces: set[str]) -> None:
+        """Makes sure that the ids of these pieces are kept."""
         new = pieces.difference(self.store)
         if not new:
             return
         if self.held > self.kept:
             self.store = {p: self.store[p] for p in pieces.difference(new)}
-            self.held = sum(EACH + len(p) + len(x) for p, x in self.store.items())
-        if not self.byte_level:
-            plain = [p for p in new if p and "|" not in p and not SPACE.search(p)]
-            self._fill(plain, "", b"", 0)
-            for p in new.difference(plain):
-                self._keep(p, self._ids(p))
-            return
-        spaced = [p for p in new if p and not SPACE.search(p)]
-        self._fill(spaced, " ", b"", 0)
-        rest = new.difference(spaced)
-        lines = [p for p in rest if len(p) > 1 and p[0] == "\n" and not SPACE.search(p, 1)]
-        self._fill(lines, "", self.line, 1)
-        for p in rest.difference(lines):
-            self._keep(p, self._ids(p if p[:1] == "\n" else " " + p))
+            self.held = size(self.store)
+        made = self._encoded(new)
+        self.store.update(made)
+        self.held += size(made)
+
+    def _pieces(self, text: str) -> list[str]:
+        return text.replace("\n", " \n" if self.byte_level else " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for a, b in slices(texts):
-            cuts: list[list[str] | None] = []
-            first: list[bytes] = []
-            new: set[str] = set()
+            rows: list[tuple[bytes, list[str]]] = []
+            met: set[str] = set()
             for t in texts[a:b]:
                 if not t:
-                    cuts.append([])
-                    first.append(b"")
+                    rows.append((b"", []))
                 elif self.byte_level and UNSAFE.search(t) or any(x in t for x in self.special):
-                    cuts.append(None)
-                    first.append(self._ids(t))
-                elif self.byte_level:
-                    pieces = t.replace("\n", " \n").split(" ")
-                    first.append(self._ids(pieces[0]) if pieces[0] else b"")
-                    del pieces[0]
-                    new.update(pieces)
-                    cuts.append(pieces)
+                    rows.append((self._ids(t), []))
                 else:
-                    pieces = t.replace("\n", " ").split(" ")
-                    first.append(b"")
-                    new.update(pieces)
-                    cuts.append(pieces)
-            self._learn(new)
+                    pieces, first = self._pieces(t), b""
+                    if self.byte_level:  # the first has no blank ahead
+                        first = self._ids(pieces[0]) if pieces[0] else b""
+                        del pieces[0]
+                    met.update(pieces)
+                    rows.append((first, pieces))
+            self._learn(met)
             get = self.store.__getitem__
-            out += [f if not c else f + b"".join(map(get, c)) for f, c in zip(first, cuts, strict=True)]
+            out += [first + b"".join(map(get, pieces)) if pieces else first for first, pieces in rows]
         return out
+
+
+def size(pieces: dict[str, bytes]) -> int:
+    return EACH * len(pieces) + sum(map(len, pieces)) + sum(map(len, pieces.values()))

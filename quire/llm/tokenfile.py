@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import batch, crc, documents, scratch, slices, splitmix, tidy, written
 from quire.llm.encode import encoder
+from quire.sources.shared import file_system
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 MAGIC = b"QUIREID1"
@@ -82,23 +82,19 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_hash(keys, 1 << 32) >> np.uint64(32)).astype(np.uint32)
 
 
-def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
-
-
 class ShardWriter:
     """Documents in ascending key order into one file, which appears under its name only when it is whole."""
 
     def __init__(self, folder: str, name: str, unique: str, width: int):
-        self.system, root = open_folder(folder)
+        self.system, root = file_system(folder)
         self.system.create_dir(root, recursive=True)
-        self.path, self.part, self.width = f"{root}/{name}", f"{root}/.{name}.{unique}", width
+        self.path, self.part, self.width, self.kind = f"{root}/{name}", f"{root}/.{name}.{unique}", width, np.dtype(f"<u{width}")
         self.out = self.system.open_output_stream(self.part)
         self.out.write(bytes(HEADER.size))
         self.at, self.ends, self.keys, self.unkeyed, self.n_ids = HEADER.size, [], [], 0, 0
 
     def add(self, key: int | None, ids: np.ndarray) -> None:
-        data = ids.astype(f"<u{self.width}").tobytes()
+        data = ids.astype(self.kind).tobytes()
         self.out.write(data)
         self.at += len(data)
         self.n_ids += len(ids)
@@ -130,7 +126,7 @@ class Shard:
     """A shard opened for keyed reads; holds the index and the ends, and reads payloads as they are asked for."""
 
     def __init__(self, folder: str, name: str):
-        system, root = open_folder(folder)
+        system, root = file_system(folder)
         self.file = system.open_input_file(f"{root}/{name}")
         size = self.file.size()
         magic, self.width, self.n_docs, self.unkeyed, self.n_ids, n_keys, n_levels, *at = HEADER.unpack(self.file.read_at(HEADER.size, size - HEADER.size))
@@ -156,6 +152,16 @@ class Shard:
         a, b = int(self.ends[place]), int(self.ends[place + count])
         return np.frombuffer(self.file.read_at((b - a) * self.width, HEADER.size + a * self.width), f"<u{self.width}").astype("<u4")
 
+    def runs(self, places: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+        """Ranges of places that follow each other, of about `most` ids each, so that one read serves many documents."""
+        i = 0
+        while i < len(places):
+            k = i + 1
+            while k < len(places) and places[k] == places[k - 1] + 1 and self.ends[places[k] + 1] - self.ends[places[i]] <= most:
+                k += 1
+            yield i, k
+            i = k
+
     def get(self, key: int) -> np.ndarray | None:
         at = self.find(np.array([key]))[0]
         return None if at < 0 else self.ids(at)
@@ -172,19 +178,21 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, writer = TaskContext.get(), None
         name = f"shard-{context.partitionId():07d}.ids"
-        tokens = encoder(vocabulary)
+        tokens, stop = encoder(vocabulary), np.uint32(end).astype("<u4").tobytes()
         width = 2 if max(tokens.library.get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else 4
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, k in slices(texts):
                 for key, ids in zip(keys[i:k], tokens.encode(texts[i:k]), strict=True):
                     writer = writer or ShardWriter(folder, name, str(context.taskAttemptId()), width)
-                    writer.add(key, np.append(np.frombuffer(ids, "<u4"), np.uint32(end)))
+                    writer.add(key, np.frombuffer(ids + stop, "<u4"))
         if writer:
             writer.close()
             yield batch(META, shard=[context.partitionId()], path=[name], n_docs=[len(writer.ends)], n_ids=[writer.n_ids])
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows of one id, or of none, may be many, so a hash of the text parts them
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     meta = written(dealt.mapInArrow(tidy(write, "encoders"), "shard int, path string, n_docs long, n_ids long"), "shards")
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     return meta.withColumn("start", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)))
@@ -204,10 +212,12 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
                     places = places + (np.arange(len(places)) - np.searchsorted(shard.keys, shard.keys))
                 places = np.concatenate([np.arange(shard.unkeyed), places])
                 keys = [None] * shard.unkeyed + shard.keys.tolist()
-                for i in range(0, len(places), 4096):
-                    some = places[i : i + 4096]
-                    sums = [crc(shard.ids(p).tobytes()) for p in some.tolist()]
-                    yield batch(ROWS, doc_id=keys[i : i + 4096], start=row["start"] + shard.ends[some], n_tokens=shard.ends[some + 1] - shard.ends[some], ids_crc32=sums, shard=[row["shard"]] * len(some))
+                for i, k in shard.runs(places):
+                    some = places[i:k]
+                    a, b = shard.ends[some], shard.ends[some + 1]
+                    ids, first = shard.ids(int(some[0]), k - i), int(a[0])
+                    sums = [crc(ids[x:y].tobytes()) for x, y in zip((a - first).tolist(), (b - first).tolist(), strict=True)]
+                    yield batch(ROWS, doc_id=keys[i:k], start=row["start"] + a, n_tokens=b - a, ids_crc32=sums, shard=[row["shard"]] * len(some))
 
     n = max(1, shards.count())
     return shards.repartition(n).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
