@@ -1,18 +1,23 @@
 """Language-model scores of texts by a log-bilinear model, trained by noise-contrastive estimation.
 
-Words are counted by Spark over all training texts. Each word that occurs often enough is a symbol of its own, so the
-vocabulary grows with the corpus; the others share a symbol by their endings, so such a word is a symbol, and its share
-of the symbol's words. The model gives the next symbol from the two before: their vectors, each turned by the matrix of
-its place, are added up, times the next symbol's vector, plus a bias. It learns from all training texts as they stream
-through the tasks, which tell each symbol from sampled noise; after each round the tasks' moves are added up where a
-symbol is rare and averaged where it is frequent. Scores aren't normalised context by context, as noise contrast makes them
-nearly so; the mean of their sums is taken off. Words too rare to be sent to every task are joined to their counts.
+Words are counted by Spark over all training texts. Each word that occurs often enough is a symbol of its own; how often
+that is grows with the root of the corpus, so that the vocabulary grows too and still fits a task. The others share a
+symbol by their endings, so such a word is a symbol, and its share of the symbol's words. Symbols are dealt to classes
+by frequency. The model gives the next symbol from the two before: their vectors, each turned by the matrix of its place,
+are added up, times the vector of the next symbol's class and of the next symbol, plus biases.
+
+It learns from all training texts as they stream through the tasks, which tell each class and each symbol from sampled
+noise; the tasks' moves are then added up where a symbol is rare and averaged where it is frequent. The number of tasks
+that learn side by side grows with the root of the corpus, as each passes on what it has moved. In scoring, matrix products
+give all classes' scores after each context, and those of all symbols of the next symbol's class; both are normalised, so
+the probabilities of all symbols add up to one. Words too rare to be sent to every task are joined to their counts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -21,26 +26,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch, crc_mod, documents, slices, tidy, words, written
+from quire.llm.common import LONG, batch, crc_mod, documents, slices, tidy, words, written
 
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
-#: Count from which a word has a symbol of its own, and symbols that the others share; the end of a text is the last symbol.
-LEAST, SHARED = 100, 256
+#: A word has a symbol of its own from LEAST occurrences, or from the root of all over ROOTS if that is more; symbols that
+#: the others share. The end of a text is the last symbol.
+LEAST, ROOTS, SHARED = 100, 10, 256
 #: Words whose counts go to every task.
 FREQUENT = 100_000
-#: Size of a vector, noise words a pair, steps and their length.
-WIDTH, NOISE, STEPS, RATE = 24, 10, 120, 0.05
-#: Symbols before the next one, symbols and noise words of a step, and its length.
-CONTEXT, PAIRS, SAMPLED, STREAM_RATE = 2, 512, 64, 0.3
+#: Size of a vector, symbols before the next one; symbols, noise words and noise classes of a step, and its length; tokens scored at a time.
+WIDTH, CONTEXT, PAIRS, SAMPLED, CLASSES, RATE, AT_ONCE = 16, 2, 1024, 32, 16, 0.3, 1 << 15
 #: How often a task meets a symbol, up to which the tasks' moves are added up.
 FEW = 30
-#: Symbols to learn from, at least, for which texts are read again, and rounds, at most.
-ENOUGH, ROUNDS = 20_000_000, 6
-#: Contexts whose sums are taken for the mean.
-PROBES = 256
+#: Tasks that learn side by side, as a share of the root of the tokens; below ENOUGH tokens texts are read again, for ROUNDS at most.
+SIDE, ENOUGH, ROUNDS = 0.002, 20_000_000, 6
 END = b""
-COUNTED = 250_000
+COUNTED = 400_000
 ROWS = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
     ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())),
@@ -80,15 +82,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Symbols(dict):
     """Words to symbols, kept as they are met."""
 
-    def __init__(self, own: dict[bytes, int]):
+    def __init__(self, own: dict[bytes, int], first: int | None = None):
         super().__init__(own)
-        self.own, self.first = own, len(own) - 1
+        self.own, self.first = own, len(own) - 1 if first is None else first
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000 + len(self.own):
             self.clear()
             self.update(self.own)
-        s = self[word] = self.first + ending(word)
+        s = self.first + ending(word)
+        if len(word) <= LONG:
+            self[word] = s
         return s
 
 
@@ -108,9 +112,9 @@ def most_frequent(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes,
     return sorted(zip(found["word"], found["c"], strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def own_words(counts: DataFrame, least: int = LEAST) -> list[tuple[bytes, int]]:
-    """All words that occur at least so often, and their counts; at most the corpus' words / `least`."""
-    found = counts.where(F.col("c") >= least).toArrow().to_pydict()
+def own_words(counts: DataFrame, total: int) -> list[tuple[bytes, int]]:
+    """All words that occur often enough, and their counts; at most ROOTS times the root of `total`."""
+    found = counts.where(F.col("c") >= max(LEAST, total**0.5 / ROOTS)).toArrow().to_pydict()
     return sorted(zip(found["word"], found["c"], strict=True), key=lambda x: (-x[1], x[0]))
 
 
@@ -120,156 +124,153 @@ def own_symbols(often: list[tuple[bytes, int]]) -> dict[bytes, int]:
     return out | {END: len(out) + SHARED}
 
 
-def contexts(found: list[list[int]], last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' symbols, each ending in `last`, as (symbols before, nearest first; next symbols); a text starts after ends."""
-    line, sizes = [], []
-    for x in found:
-        line += [last] * CONTEXT
-        line += x
-        sizes.append(CONTEXT + len(x))
-    at, keep = np.array(line, np.int64), np.ones(len(line), bool)
-    starts = np.cumsum(sizes) - sizes
+def contexts(symbols: np.ndarray, starts: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols before, nearest first; next symbols) of texts laid end to end; a text starts after ends."""
+    before = np.empty((len(symbols), CONTEXT), np.int64)
     for k in range(CONTEXT):
-        keep[starts + k] = False
-    here = np.flatnonzero(keep)
-    return np.stack([at[here - k - 1] for k in range(CONTEXT)], axis=1), at[here]
+        before[k + 1 :, k] = symbols[: len(symbols) - k - 1]
+        for ahead in range(k + 1):
+            at = starts + ahead
+            before[at[at < len(symbols)], k] = last
+    return before, symbols
+
+
+def rare_words(line: list[bytes], places: np.ndarray, ends: np.ndarray) -> list[Counter[bytes]]:
+    """The words at some places of texts laid end to end, counted for each text."""
+    cuts = np.searchsorted(places, ends)
+    names = [line[x] for x in places.tolist()]
+    return [Counter(names[a:b]) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
 
 
 class LogBilinear:
-    """score(next, before) = next vector . (matrix @ before vector) + bias."""
-
-    def __init__(self, size: int, width: int = WIDTH, seed: int = 3):
-        rnd = np.random.default_rng(seed)
-        self.before = rnd.normal(0, 0.3, (size, width)).astype(np.float32)
-        self.turn = np.eye(width, dtype=np.float32)
-        self.next = rnd.normal(0, 0.3, (size, width)).astype(np.float32)
-        self.bias = np.zeros(size, np.float32)
-
-    def scores(self) -> np.ndarray:
-        return self.before @ self.turn @ self.next.T + self.bias
-
-    def fit(self, pairs: np.ndarray, steps: int = STEPS, noise: int = NOISE, rate: float = RATE) -> LogBilinear:
-        """Tells pairs from noise drawn by word frequency. All contexts are one batch, in which noise enters by its
-        expectation, so that each step uses the counts of the whole corpus. Contexts weigh by the root of their count."""
-        each = pairs.sum(axis=1)
-        if not each.sum():
-            self.before[:] = 0  # nothing is known: all symbols are equally likely
-            return self
-        unigram = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * len(pairs))
-        self.bias = np.log(unigram).astype(np.float32)
-        weight = np.sqrt(each) / np.sqrt(each).sum()
-        data = (pairs / np.maximum(each, 1)[:, None] * weight[:, None]).astype(np.float32)
-        noisy = (noise * unigram[None, :] * weight[:, None]).astype(np.float32)
-        shift = np.log(noise * unigram).astype(np.float32)
-        names = ("before", "turn", "next", "bias")
-        first, second = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
-        for step in range(1, steps + 1):
-            p = 1 / (1 + np.exp(-np.clip(self.scores() - shift, -30, 30)))
-            g = noisy * p - data * (1 - p)
-            turned = self.before @ self.turn
-            made = {"next": g.T @ turned, "bias": g.sum(axis=0)}
-            back = g @ self.next
-            made |= {"turn": self.before.T @ back, "before": back @ self.turn.T}
-            now = rate * 0.5 * (1 + np.cos(np.pi * step / (steps + 1)))
-            for k in names:
-                first[k] += 0.1 * (made[k] - first[k])
-                second[k] += 0.01 * (made[k] ** 2 - second[k])
-                setattr(self, k, getattr(self, k) - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9))
-        return self
-
-    def log10(self) -> np.ndarray:
-        """Normalised log10 probabilities, a row for each symbol before."""
-        z = self.scores().astype(np.float64)
-        z -= z.max(axis=1, keepdims=True)
-        return ((z - np.log(np.exp(z).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
-
-
-class Streamed:
-    """score(next, before) = next vector . sum of (before vector @ matrix of its place) + bias, learned from a stream."""
+    """score(next, before) = next vector . sum of (before vector @ matrix of its place) + bias, for symbols and their classes.
+
+    Classes are rows behind those of the symbols. A class holds symbols of like frequency; each has about the same sum of
+    roots of frequencies, so frequent symbols lie in small classes.
+    """
 
     def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 3):
-        rnd = np.random.default_rng(seed)
-        self.unigram = unigram
-        self.before = rnd.normal(0, 0.3, (len(unigram), width)).astype(np.float32)
+        rnd, n = np.random.default_rng(seed), len(unigram)
+        self.order = np.argsort(-unigram, kind="stable")
+        roots = np.sqrt(unigram[self.order])
+        spread = np.minimum(((np.cumsum(roots) - roots) / roots.sum() * max(1, round(n**0.5))).astype(np.int64), n - 1)
+        _, of = np.unique(spread, return_inverse=True)  # without classes that no symbol is in
+        self.starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        self.of, self.place = np.empty(n, np.int64), np.empty(n, np.int64)
+        self.of[self.order], self.place[self.order] = of, np.arange(n) - self.starts[of]
+        self.n, self.unigram = n, np.concatenate([unigram, np.add.reduceat(unigram[self.order], self.starts)])
+        self.before = rnd.normal(0, 0.3, (n, width)).astype(np.float32)
         self.turn = np.stack([np.eye(width, dtype=np.float32) / (1 + k) for k in range(CONTEXT)])
-        self.next = np.zeros((len(unigram), width), np.float32)
-        self.bias = np.log(unigram).astype(np.float32)
-        self.shift = 0.0
+        self.next = np.zeros((len(self.unigram), width), np.float32)
+        self.bias = np.log(self.unigram).astype(np.float32)
 
     def start(self, seed: int, tokens: int) -> None:
         """Makes ready to learn in a task. Sums of squared slopes start with their share of what all tokens will add, or
         rare symbols, whose noise comes seldom and in lumps, would rise too far before it."""
-        self.rnd, self.ladder, self.noise = np.random.default_rng(seed), np.cumsum(self.unigram), np.log(SAMPLED * self.unigram).astype(np.float32)
+        self.rnd = np.random.default_rng(seed)
+        self.levels = [(0, np.cumsum(self.unigram[: self.n]), SAMPLED), (self.n, np.cumsum(self.unigram[self.n :]), CLASSES)]
+        drawn = np.repeat([SAMPLED, CLASSES], [self.n, len(self.unigram) - self.n])
+        self.noise = np.log(drawn * self.unigram).astype(np.float32)
         times = tokens * self.unigram
-        due = 0.3 * times * (1 + SAMPLED * PAIRS / (SAMPLED + 1) ** 2)
-        self.squares = [x.astype(np.float32) for x in (0.05 + 0.01 * times, 1 + 0.2 * due, 1 + due)] + [np.full_like(self.turn, 1.0)]
+        due = 0.3 * times * (1 + drawn * PAIRS / (drawn + 1) ** 2)
+        self.squares = [x.astype(np.float32) for x in (0.05 + 0.01 * times[: self.n], 1 + 0.2 * due, 1 + due)] + [np.full_like(self.turn, 1.0)]
         self.met = np.zeros(len(self.unigram), bool)
 
-    def _move(self, rows: np.ndarray, slopes: np.ndarray, table: np.ndarray, squares: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+    def _move(self, rows: np.ndarray, *moves: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Moves rows of (table, squares) against their slopes, the steps shortened by what has been moved before."""
+        order = np.argsort(rows)
         at = rows[order]
         edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        g, at = np.add.reduceat(slopes[order], edge, axis=0), at[edge]
-        squares[at] += g**2 if g.ndim == 1 else (g**2).mean(axis=1)
-        size = STREAM_RATE / np.sqrt(squares[at])
-        table[at] -= size * g if g.ndim == 1 else size[:, None] * g
+        at = at[edge]
+        for slopes, table, squares in moves:
+            g = np.add.reduceat(slopes[order], edge, axis=0)
+            squares[at] = held = squares[at] + (g**2 if g.ndim == 1 else np.einsum("ij,ij->i", g, g) / g.shape[1])
+            size = RATE / np.sqrt(held)
+            table[at] -= size * g if g.ndim == 1 else size[:, None] * g
 
     def learn(self, before: np.ndarray, following: np.ndarray) -> None:
-        """Tells the symbols of each step from noise words drawn for it by frequency."""
-        self.met[following] = True
+        """Tells the symbols of each step, and their classes, from noise drawn for it by frequency."""
         for i in range(0, len(following), PAIRS):
             c, t = before[i : i + PAIRS], following[i : i + PAIRS]
-            n = np.minimum(np.searchsorted(self.ladder, self.rnd.random(SAMPLED) * self.ladder[-1]), len(self.ladder) - 1)
-            self.met[n] = True
             r = [self.before[c[:, k]] for k in range(CONTEXT)]
             q = sum(x @ m for x, m in zip(r, self.turn, strict=True))
-            own, other = self.next[t], self.next[n]
-            gt = 1 / (1 + np.exp(-np.clip((q * own).sum(axis=1) + self.bias[t] - self.noise[t], -30, 30))) - 1
-            gn = 1 / (1 + np.exp(-np.clip(q @ other.T + self.bias[n] - self.noise[n], -30, 30)))
-            gq = gt[:, None] * own + gn @ other
+            gq, rows, slopes, lift = 0, [], [], []
+            for (first, ladder, drawn), own in zip(self.levels, (t, self.n + self.of[t]), strict=True):
+                n = first + np.minimum(np.searchsorted(ladder, self.rnd.random(drawn) * ladder[-1]), len(ladder) - 1)
+                true, other = self.next[own], self.next[n]
+                gt = _sigmoid(np.einsum("ij,ij->i", q, true) + self.bias[own] - self.noise[own]) - 1
+                gn = q @ other.T
+                gn += self.bias[n] - self.noise[n]
+                gn = _sigmoid(gn)
+                gq = gq + gt[:, None] * true + gn @ other
+                rows += [own, n]
+                slopes += [gt[:, None] * q, gn.T @ q]
+                lift += [gt, gn.sum(axis=0)]
             back = [gq @ m.T for m in self.turn]
             g = np.stack([x.T @ gq for x in r])
             self.squares[3] += g**2
-            rows = np.concatenate([t, n])
-            self._move(rows, np.concatenate([gt[:, None] * q, gn.T @ q]), self.next, self.squares[1])
-            self._move(rows, np.concatenate([gt, gn.sum(axis=0)]), self.bias, self.squares[2])
-            self._move(c.T.ravel(), np.concatenate(back), self.before, self.squares[0])
-            self.turn -= STREAM_RATE / 2 * g / np.sqrt(self.squares[3])
+            at = np.concatenate(rows)
+            self.met[at] = True
+            self.met[c.ravel()] = True
+            self._move(at, (np.concatenate(slopes), self.next, self.squares[1]), (np.concatenate(lift), self.bias, self.squares[2]))
+            self._move(c.T.ravel(), (np.concatenate(back), self.before, self.squares[0]))
+            self.turn -= RATE / 2 * g / np.sqrt(self.squares[3])
 
     def rows(self) -> np.ndarray:
-        return np.hstack([self.before, self.next, self.bias[:, None]])
-
-    def level(self, before: np.ndarray) -> None:
-        """Takes off the mean of the log sums over all symbols after some contexts."""
-        q = sum(self.before[before[:, k]] @ self.turn[k] for k in range(CONTEXT))
-        sums = []
-        for i in range(0, len(q), 16):
-            z = q[i : i + 16] @ self.next.T + self.bias
-            top = z.max(axis=1)
-            sums += (top + np.log(np.exp(z - top[:, None]).sum(axis=1))).tolist()
-        self.shift = float(np.mean(sums)) if sums else 0.0
-
-    def log10(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        """A function from symbols before and next symbols to log10 probabilities."""
-        turned = [self.before @ m for m in self.turn]
-
-        def run(before: np.ndarray, following: np.ndarray) -> np.ndarray:
-            out = np.empty(len(following))
-            for i in range(0, len(out), 1 << 16):
-                c, t = before[i : i + (1 << 16)], following[i : i + (1 << 16)]
-                q = sum(x[c[:, k]] for k, x in enumerate(turned))
-                out[i : i + (1 << 16)] = np.einsum("ij,ij->i", q, self.next[t]) + self.bias[t]
-            return np.minimum((out - self.shift) / np.log(10), 0.0)
-
-        return run
-
-
-def trained(docs: DataFrame, own: dict[bytes, int], unigram: np.ndarray, tokens: int) -> Streamed:
+        """All vectors and biases, a row a symbol or class; classes have no vector as context."""
+        before = np.vstack([self.before, np.zeros((len(self.next) - self.n, self.before.shape[1]), np.float32)])
+        return np.hstack([before, self.next, self.bias[:, None]])
+
+    def add(self, at: np.ndarray, moves: np.ndarray) -> None:
+        width, own = self.before.shape[1], at < self.n
+        self.before[at[own]] += moves[own, :width]
+        self.next[at] += moves[:, width : 2 * width]
+        self.bias[at] += moves[:, -1]
+
+    def log10(self, before: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """log10 probabilities of next symbols: of the class among classes, times of the symbol among those of its class."""
+        out, ends = np.empty(len(following)), np.append(self.starts[1:], self.n)
+        for i in range(0, len(out), AT_ONCE):
+            c, t = before[i : i + AT_ONCE], following[i : i + AT_ONCE]
+            q = sum(self.before[c[:, k]] @ self.turn[k] for k in range(CONTEXT))
+            kind = self.of[t]
+            made = _chosen(q @ self.next[self.n :].T + self.bias[self.n :], kind)
+            order = np.argsort(kind, kind="stable")
+            edge = np.flatnonzero(np.append(True, np.diff(kind[order]) != 0))
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+                some = order[a:b]
+                k = kind[some[0]]
+                if ends[k] - self.starts[k] > 1:
+                    members = self.order[self.starts[k] : ends[k]]
+                    made[some] += _chosen(q[some] @ self.next[members].T + self.bias[members], self.place[t[some]])
+            out[i : i + AT_ONCE] = made
+        return out / np.log(10)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place, without overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+def _chosen(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of one entry's share of each row's exponentials."""
+    if scores.max() > 40:  # learned scores are logs of shares already, and lie far below
+        scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(at)), at].astype(float)
+    return own - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
+
+
+def trained(docs: DataFrame, own: dict[bytes, int], unigram: np.ndarray, tokens: int) -> LogBilinear:
     """The model after all training texts have streamed through it, once, or in some rounds if they are few."""
-    model, last = Streamed(unigram), len(unigram) - 1
+    model, last = LogBilinear(unigram), len(unigram) - 1
     if not tokens:
         return model
     texts = training(docs)
+    side = max(2, round(SIDE * tokens**0.5))
 
     def shard(at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["id", "row"])
@@ -278,20 +279,21 @@ def trained(docs: DataFrame, own: dict[bytes, int], unigram: np.ndarray, tokens:
         symbol = Symbols(own)
         model.start(1000 * TaskContext.get().partitionId() + turn, tokens)
         first, matrices = model.rows(), model.turn.copy()
-        seen = np.zeros((0, CONTEXT), np.int64)
         for b in batches:
             found = b.column(0).to_pylist()
             for i, k in slices(found):
-                before, following = contexts([[*map(symbol.__getitem__, words(t)), last] for t in found[i:k]], last)
-                model.learn(before, following)
-                seen = model.rnd.permutation(np.concatenate([seen, before[model.rnd.integers(0, len(before), PROBES)]]))[:PROBES]
+                line, sizes = [], []
+                for t in found[i:k]:
+                    line += map(symbol.__getitem__, words(t))
+                    line.append(last)
+                    sizes.append(len(line))
+                model.learn(*contexts(np.array(line, np.int64), np.array([0, *sizes[:-1]]), last))
         at = np.flatnonzero(model.met)
         if len(at):
             moved = model.rows() - first
             for i in range(0, len(at), 8192):
                 yield shard(at[i : i + 8192], moved[at[i : i + 8192]])
             yield shard(np.array([-1]), np.append((model.turn - matrices).ravel(), 1)[None, :])
-            yield shard(np.array([-2 - TaskContext.get().partitionId()]), seen.reshape(1, -1))  # whole numbers up to 2 ** 24
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -303,20 +305,15 @@ def trained(docs: DataFrame, own: dict[bytes, int], unigram: np.ndarray, tokens:
         for i in range(0, len(keys), 8192):
             yield shard(np.array(keys[i : i + 8192]), [total[k] for k in keys[i : i + 8192]])
 
-    kind, width = "id long, row binary", model.before.shape[1]
+    kind = "id long, row binary"
     for turn in range(max(1, min(ROUNDS, -(-ENOUGH // tokens)))):
-        found = texts.mapInArrow(tidy(run), kind).repartition("id").mapInArrow(tidy(added), kind).toArrow().to_pydict()  # a row a symbol
+        found = texts.coalesce(side).mapInArrow(tidy(run), kind).repartition("id").mapInArrow(tidy(added), kind).toArrow().to_pydict()  # a row a symbol
         moves = dict(zip(found["id"], found["row"], strict=True))
         matrices = np.frombuffer(moves.pop(-1), "<f4")
         tasks = matrices[-1]
         model.turn = model.turn + matrices[:-1].reshape(model.turn.shape) / tasks
-        probes = np.concatenate([np.frombuffer(moves.pop(key), "<f4").reshape(-1, CONTEXT) for key in sorted(moves) if key < -1]).astype(np.int64)
         at = np.fromiter(moves.keys(), np.int64, len(moves))
-        x = np.stack([np.frombuffer(r, "<f4") for r in moves.values()]) / np.clip(tokens * unigram[at] / tasks / FEW, 1, tasks)[:, None].astype(np.float32)
-        model.before[at] += x[:, :width]
-        model.next[at] += x[:, width : 2 * width]
-        model.bias[at] += x[:, -1]
-    model.level(probes[np.random.default_rng(7).integers(0, len(probes), 2 * PROBES)])
+        model.add(at, np.stack([np.frombuffer(r, "<f4") for r in moves.values()]) / np.clip(tokens * model.unigram[at] / tasks / FEW, 1, tasks)[:, None].astype(np.float32))
     return model
 
 
@@ -348,46 +345,56 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """
     counts = written(word_counts(docs), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent, often = most_frequent(counts), own_words(counts)
+    frequent, often = most_frequent(counts), own_words(counts, total["n"])
+    ends = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"]
     frequent = max(frequent, often, key=len)  # both are the words above some count
     own = own_symbols(often)
     masses, alone = class_masses(counts, own), len(own) - 1
-    weights = np.concatenate([[c for w, c in often if w != END], masses, [dict(often).get(END) or dict(frequent).get(END, 1)]]).astype(float)
+    weights = np.concatenate([[c for w, c in often if w != END], masses, [ends + SMOOTH]]).astype(float)
     net = trained(docs, own, weights / weights.sum(), total["n"])
     share = np.log10(masses)
     whole = np.log10(total["n"] + SMOOTH * (total["v"] + 1))
-    held = {w: float(np.log10(c + SMOOTH)) for w, c in frequent}
-    held.setdefault(END, float(np.log10(SMOOTH)))
-    if not total["v"]:
-        held = {}
+    listed = [(w, c) for w, c in frequent if w != END]
+    # words by their places in arrays of symbols and of logs; the text end is the last, an unknown word stands behind it
+    place = {w: k for k, (w, _) in enumerate(listed)}
+    symbols = np.array([own.get(w, alone + ending(w)) for w, _ in listed] + [alone + SHARED, 0], np.int64)
+    counted = np.log10(np.array([c for _, c in listed] + [ends, 0], float) + SMOOTH)
+    end = len(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, last, row = Symbols(own), alone + SHARED, TaskContext.get().partitionId() << 40
-        chances, get = net.log10(), held.get
+        shared, last, row = Symbols({END: alone + SHARED}, alone), alone + SHARED, TaskContext.get().partitionId() << 40
+        get = place.get
         for b in batches:
             keys, texts, out = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             for i, k in slices(texts):
-                line, sizes, made = [], [], []
+                line, sizes, made, at = [], [], [], []
                 for key, text, fold in zip(keys[i:k], texts[i:k], out[i:k], strict=True):
                     found = words(text)
-                    found.append(END)
-                    line.append(list(map(symbol.__getitem__, found)))
-                    sizes.append(len(found))
-                    logs = list(map(get, found))
-                    rare = Counter(w for w, x in zip(found, logs, strict=True) if x is None)
-                    made.append((row, key, fold, len(found), len(found) - rare.total(), logs, list(rare.keys()), list(rare.values())))
+                    at += map(get, found, repeat(end + 1))
+                    at.append(end)
+                    sizes.append(len(found) + 1)
+                    line += found
+                    line.append(END)
+                    made.append((row, key, fold))
                     row += 1
-                before, at = contexts(line, last)
-                step = chances(before, at)
-                logs = np.array([0.0 if x is None else x for m in made for x in m[5]])
-                tail = (at >= alone) & (at < last)
-                step[tail] += logs[tail] - share[at[tail] - alone]
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
+                at = np.array(at, np.int64)
+                kinds, logs = symbols[at], counted[at]
+                gaps = np.flatnonzero(at > end)
+                kinds[gaps] = [shared[line[x]] for x in gaps.tolist()]
+                ends_ = np.cumsum(sizes)
+                starts = ends_ - sizes
+                rare = rare_words(line, gaps, ends_) if ends else rare_words(line, np.union1d(gaps, ends_ - 1), ends_)
+                before, following = contexts(kinds, starts, last)
+                step = net.log10(before, following)
+                tail = (kinds >= alone) & (kinds < last)
+                logs[at > end] = 0.0  # joined to their counts later
+                if not ends:
+                    logs[ends_ - 1] = 0.0
+                step[tail] += logs[tail] - share[kinds[tail] - alone]
                 base, model = np.add.reduceat(logs, starts), np.add.reduceat(step, starts)
                 yield batch(
-                    ROWS, row=[m[0] for m in made], doc_id=[m[1] for m in made], held_out=[m[2] for m in made], n_tokens=sizes, n_known=[m[4] for m in made],
-                    base=base - np.array(sizes) * whole, model=model, rare=[m[6] for m in made], times=[m[7] for m in made],
+                    ROWS, row=[m[0] for m in made], doc_id=[m[1] for m in made], held_out=[m[2] for m in made], n_tokens=sizes, n_known=np.array(sizes) - [x.total() for x in rare],
+                    base=base - np.array(sizes) * whole, model=model, rare=[list(x.keys()) for x in rare], times=[list(x.values()) for x in rare],
                 )
 
     kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>"
