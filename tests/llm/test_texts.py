@@ -1,6 +1,7 @@
 import hashlib
 import io
 import math
+import re
 import wave
 import zlib
 from collections import Counter
@@ -40,6 +41,39 @@ def test_later_direct_insult_counts():
         assert again["targeted"] == 1 and again[was] == 0  # a weaker mention adds nothing
 
 
+def slow_features(text: str, weights: dict[str, float]) -> tuple[float, ...]:
+    """The grammar by definition, over all clauses and without machines."""
+    listed = {w: k for k, ws in toxicity.SEEDS.items() if k != toxicity.INSULT for w in ws.split()}
+    kind = lambda w: toxicity.INSULT if w in weights else listed.get(w, toxicity.NONE)
+    best, threats, strongest = {}, 0, 0.0
+    for clause in text.split("."):
+        w = clause.split()
+        kinds = list(map(kind, w))
+        target, report, threat = (k in kinds for k in (toxicity.TARGET, toxicity.REPORT, toxicity.THREAT))
+        worth = {}
+        for i, word in enumerate(w):
+            if kinds[i] == toxicity.INSULT:
+                denied = toxicity.NEGATION in kinds[max(0, i - toxicity.REACH) : i]
+                best[word] = max(best.get(word, 0), 0 if denied else 1 if report else 3 if target else 2)
+                worth[word] = max(worth.get(word, 0), weights[word] * (0.3 if denied else 1))
+        scale = (1.25 if target else 1) * (0.5 if report else 1)
+        threats += threat and target and not report
+        strongest = max(strongest, sum(worth.values()) * scale + (0.5 if threat and target and not report else 0))
+    held = [sum(weights[w] for w, r in best.items() if r == k) for k in range(4)]
+    return held[2], held[3], float(threats), held[0], held[1], strongest, sum(held) / (1 + len(text.split())) ** 0.5
+
+
+def test_grammar_by_definition():
+    rnd = np.random.default_rng(1)
+    weights = {"scum": 1.0, "zork": 0.5}
+    g = toxicity.Grammar({k.encode(): v for k, v in weights.items()})
+    for _ in range(2000):
+        clauses = [" ".join(rnd.choice(["scum", "zork", "you", "not", "said", "kill", "tree", "river"], rnd.integers(1, 7))) + "." for _ in range(rnd.integers(1, 4))]
+        got = g.features(" ".join(clauses))
+        assert np.allclose(got, slow_features(" ".join(clauses), weights)), clauses
+        assert np.allclose(got, g.features(" ".join(clauses[::-1])))  # whatever the order of clauses
+
+
 @pytest.mark.parametrize("which", ["odd", "empty"])
 def test_toxicity_odd(request, labelled, no_labels, which):
     docs = request.getfixturevalue(which)
@@ -73,6 +107,28 @@ def test_statistics():
     assert quality.statistics(None) == quality.statistics("") == tuple([0.0] * len(quality.STATS))
 
 
+def slow_statistics(text):
+    """Statistics by definition, with regular expressions over characters."""
+    text = text or ""
+    size = max(1, len(text.encode()))
+    cut = lambda x: [w for w in re.split("[ \t\n\v\f\r]+", x) if w]
+    count = lambda chars: sum(c in chars for c in text)
+    w, lines = cut(text), [x for x in text.split("\n") if cut(x)]
+    n, m = max(1, len(w)), max(1, len(lines))
+    letters = len(re.findall("[a-zA-Z]", text))
+    return (
+        len(w), sum(len(x.encode()) for x in w) / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, count("#*$%&<>@^~=_{}[]\\") / size,
+        len(re.findall("[A-Z]", text)) / max(1, letters), len(re.findall("[0-9]", text)) / size, count("!?") / size, text.count("|") / size, len(w) / m,
+        1 - len(set(lines)) / m if lines else 0.0, sum(bool(re.search("[.!?:\"][ \t\n\v\f\r]*$", x)) for x in lines) / m, (len(text.encode()) - len(text)) / size,
+        (len(text.encode()) - sum(len(x.encode()) for x in w)) / size,
+    )
+
+
+def test_statistics_by_definition(odd):
+    for text in [r.text for r in odd.collect()] + ["One two? Three!\nOne two? Three!\n\n| a | b |\n#tag @x 12.5%", "é É ß. \n \"quoted\" \n", "a a a b b", "\t"]:
+        assert np.allclose(quality.statistics(text), slow_statistics(text)), text
+
+
 def test_rules_are_their_columns(spark):
     rnd = np.random.default_rng(1)
     x = rnd.random((800, len(quality.STATS)))
@@ -130,6 +186,42 @@ def test_kneser_ney_sums_to_one():
     assert all((np.diff(k) > 0).all() for k in model.keys)
 
 
+def test_kneser_ney_by_definition():
+    """Every probability as the definition has it, n-gram by n-gram, from counts in dictionaries."""
+    rnd = np.random.default_rng(4)
+    n = perplexity.ORDER
+    line = (rnd.integers(0, 9, 3000) ** 2 % 11).tolist()
+    grams = Counter(tuple(line[i : i + n]) for i in range(len(line) - n + 1))
+    levels = {n: dict(grams)}
+    for k in range(n - 1, 0, -1):
+        levels[k] = dict(Counter(g[1:] for g in levels[k + 1]))
+
+    def cuts(counts):
+        c = Counter(counts.values())
+        if min(c[k] for k in (1, 2, 3, 4)) == 0:
+            return [0.0, 0.4, 0.6, 0.7]
+        y = c[1] / (c[1] + 2 * c[2])
+        return [0.0, *(min(k, max(0.0, k - (k + 1) * y * c[k + 1] / c[k])) for k in (1, 2, 3))]
+
+    cut = {k: cuts(levels[k]) for k in levels}
+
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / 64
+        after = {h: c for h, c in levels[k].items() if h[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        total, c = sum(after.values()), levels[k].get(g, 0)
+        spare = sum(cut[k][min(x, 3)] for x in after.values()) / total
+        return (c - cut[k][min(c, 3)]) / total + spare * p(g[1:])
+
+    code = lambda g: sum(s << 6 * (n - 1 - i) for i, s in enumerate(g))
+    model = perplexity.KneserNey.fit(np.array([code(g) for g in grams]), np.array(list(grams.values())))
+    asked = [*list(grams)[:60], *[tuple(rnd.integers(0, 13, n).tolist()) for _ in range(60)]]
+    assert np.allclose(model.score(np.array([code(g) for g in asked])), [math.log10(p(g)) for g in asked], atol=1e-9)
+
+
 @pytest.mark.parametrize("which", ["odd", "empty"])
 def test_bands_odd(request, which):
     docs = request.getfixturevalue(which)
@@ -159,7 +251,8 @@ def test_model_counts_every_text(spark):
     codes, n = (np.array(list(x)) for x in (want.keys(), want.values()))
     mask = (1 << perplexity.ORDER * perplexity.BITS) - 1
     for k, model in enumerate(perplexity.KneserNey.held_out(codes, n)):
-        assert set(model.keys[-1].tolist()) == {c & mask for c in want if c >> perplexity.ORDER * perplexity.BITS != k}
+        others = np.array([c & mask for c in want if c >> perplexity.ORDER * perplexity.BITS != k])
+        assert set(model.keys[-1].tolist()) == set(perplexity.hashed(others, perplexity.ORDER).tolist())
 
 
 def test_bands_keep_common_symbols(spark):
@@ -195,7 +288,7 @@ def test_vocabulary_grows_and_rare_contexts_count(spark, monkeypatch):
     texts = [" ".join(f"{stem(i)} {stem(i ^ 1)}" for i in rnd.integers(0, 1500, 300)) for _ in range(500)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     counts = bilinear.word_counts(docs)
-    often = bilinear.own_words(counts)
+    often = bilinear.own_words(counts, 300_000)
     assert len(often) == counts.where(f"c >= {bilinear.LEAST}").count() > 1400
     own = bilinear.own_symbols(often)
     assert sorted(set(own.values()) - {own[b""]}) == list(range(len(own) - 1)) and own[b""] == len(own) - 1 + bilinear.SHARED
@@ -205,21 +298,48 @@ def test_vocabulary_grows_and_rare_contexts_count(spark, monkeypatch):
 
 
 def test_contexts_stay_in_a_text():
-    before, following = bilinear.contexts([[4, 5, 9], [9], [6, 9]], 9)
+    before, following = bilinear.contexts(np.array([4, 5, 9, 9, 6, 9]), np.array([0, 3, 4]), 9)
     assert following.tolist() == [4, 5, 9, 9, 6, 9]
     assert before.tolist() == [[9, 9], [4, 9], [5, 4], [9, 9], [9, 9], [6, 9]]
 
 
 def test_model_is_normalised_and_learns():
     rnd = np.random.default_rng(3)
-    pairs = np.zeros((30, 30))
-    for a in range(30):
-        np.add.at(pairs[a], (a + rnd.integers(0, 3, 400)) % 30, 1)
-    table = bilinear.LogBilinear(30, 12).fit(pairs).log10()
-    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
-    unigram = np.log10(pairs.sum(axis=0) / pairs.sum())
-    assert (pairs * table).sum() > (pairs * unigram).sum() * 0.75
-    assert np.allclose(bilinear.LogBilinear(5).fit(np.zeros((5, 5))).log10(), -math.log10(5))
+    line = [0]
+    for _ in range(6000):
+        line.append((line[-1] + int(rnd.integers(0, 3))) % 30)
+    before, following = bilinear.contexts(np.array([*line, 30]), np.array([0]), 30)
+    unigram = np.bincount(following, minlength=31) / len(following)
+    model = bilinear.LogBilinear(unigram, 12)
+    assert 1 < len(model.starts) < 31
+    plain = np.log10(unigram[following]).mean()
+    assert abs(model.log10(before, following).mean() - plain) < 0.05  # nothing learned yet
+    model.start(1, len(following))
+    for _ in range(20):
+        model.learn(before, following)
+    assert model.log10(before, following).mean() > plain + 0.5
+
+    def slow(c, t):
+        """By definition, one context and one symbol at a time."""
+        q = sum(model.before[x].astype(float) @ model.turn[k] for k, x in enumerate(c))
+        score = [float(q @ model.next[j]) + float(model.bias[j]) for j in range(len(model.next))]
+        top, own = score[31:], [score[j] for j in range(31) if model.of[j] == model.of[t]]
+        return (top[model.of[t]] - math.log(sum(map(math.exp, top))) + score[t] - math.log(sum(map(math.exp, own)))) / math.log(10)
+
+    for c in before[rnd.integers(0, len(before), 20)]:
+        every = model.log10(np.tile(c, (31, 1)), np.arange(31))
+        assert abs((10**every).sum() - 1) < 1e-5
+        assert np.allclose(every, [slow(c, t) for t in range(31)], atol=1e-4)
+
+
+def test_one_text_of_many_words(spark):
+    """The count of the text end is right when more words than are sent to tasks occur once."""
+    text = " ".join(f"w{i}" for i in range(bilinear.FREQUENT + 500))
+    doc = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10)
+    row = bilinear.score_texts(spark.createDataFrame([(doc, text)], "doc_id long, text string")).first()
+    n = bilinear.FREQUENT + 501
+    assert row.n_known == row.n_tokens == row.train_tokens == n
+    assert math.isclose(row.base_score, n * math.log10(1.1 / (n + 0.1 * (n + 1))), abs_tol=1e-4)
 
 
 def test_media(odd, empty):
@@ -249,6 +369,20 @@ def test_fingerprint_finds_tones():
     assert media.fingerprint(tone[: media.FRAME]).tolist() == []
 
 
+def test_peaks_by_definition():
+    """The transform as a sum over samples, bin by bin."""
+    data = np.frombuffer("".join(chr(97 + k * 7 % 26) + " " * (k % 5 == 0) for k in range(500)).encode(), np.uint8)
+    found, n = media.peaks(data), media.FRAME
+    x = np.concatenate([data.astype(float) - 128, np.zeros(-(len(data) - n) % media.HOP)])
+    window = [0.54 - 0.46 * math.cos(2 * math.pi * k / (n - 1)) for k in range(n)]
+    assert len(found) == (len(x) - n) // media.HOP + 1
+    for f in range(len(found)):
+        frame = [a * b for a, b in zip(window, x[f * media.HOP : f * media.HOP + n], strict=True)]
+        for k, (low, high) in enumerate(media.BANDS):
+            power = [abs(sum(v * complex(math.cos(2 * math.pi * b * i / n), -math.sin(2 * math.pi * b * i / n)) for i, v in enumerate(frame))) for b in range(low, high)]
+            assert abs(max(power) - power[found[f, k] - low]) < 1e-5
+
+
 def test_short_texts_have_fingerprints():
     rnd = np.random.default_rng(5)
     texts = ["", "one", "two words"] + ["".join(rnd.choice(list("abcdefg hij"), n)) for n in (60, 300, 575, 576)]

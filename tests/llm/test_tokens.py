@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import packing, tokencount, tokenfile
-from quire.llm.common import scratch, tokenizer_path
-from quire.llm.encode import PieceEncoder
+from quire.llm import common, packing, tokencount, tokenfile
+from quire.llm.common import LONG, scratch, tokenizer_path
+from quire.llm.encode import EACH, PieceEncoder
 
 PIECES = [" ", " ", "  ", "\n", "\n\n", "\t", "a", "B", "é", "'s", "'re", "'", "r", "l", "e", "v", "ll", "|", "<|endoftext|>", "1", "２", " ", "́", "\x1c", "日本", "İ", "Σ", "\r", "!", "　", "​", "\x85", "²", "ing", "the"]
 
@@ -40,6 +41,27 @@ def test_counts_are_the_librarys():
     assert tokencount.count_tokens(texts).tolist() == want
 
 
+def test_stores_are_bounded(monkeypatch):
+    """Stores that are emptied all the time, and pieces too long to keep, change no result."""
+    texts = strings(5, 400) + ["x" * 500 + " " + "y" * 500, "word " * 300] * 2
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        small = PieceEncoder(name, 2000)
+        assert small.encode(texts) == PieceEncoder(name).encode(texts)
+        assert small.held == sum(EACH + len(p) + len(x) for p, x in small.store.items())
+    want = tokencount.count_tokens(texts).tolist()
+    for bound in ("PIECES_KEPT", "STATES_KEPT", "PAIRS_KEPT"):
+        monkeypatch.setattr(tokencount, bound, 3)
+    assert tokencount.count_tokens(texts).tolist() == want
+    assert max(map(len, tokencount.machines("byte_bpe_50k.json")[2])) <= LONG
+
+
+def test_tasks_drop_what_others_keep():
+    held = {1: 2}
+    common.kept("test", held)
+    assert list(common.tidy(lambda batches: (len(held) for _ in batches), "test")(iter([0]))) == [1]
+    assert list(common.tidy(lambda batches: (len(held) for _ in batches))(iter([0]))) == [0]
+
+
 def test_state_maps_compose():
     rnd = np.random.default_rng(0)
     maps = rnd.integers(0, tokencount.STATES, (37, tokencount.STATES)).astype(np.int8)
@@ -74,7 +96,7 @@ def test_shards(spark, odd, empty):
     folder = scratch(spark, "test")
     shards = tokenfile.write_shards(odd, folder)
     rows = tokenfile.read_shards(shards, folder).orderBy("start").collect()
-    order = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    order = odd.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()
     at = 0
     assert [r.doc_id for r in rows] == [r.doc_id for r in order]
     for r, o in zip(rows, order, strict=True):
