@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,9 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder; without a live context there is nothing left to do."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the application ends."""
+    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The frame as a table in the shared folder, so that what is made of it needn't compute it again."""
-    path = f"{shared_dir(df.sparkSession)}/quire-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
