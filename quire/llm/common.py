@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import os
-import uuid
 import weakref
 import zlib
 from collections.abc import Callable, Iterator, Sized
@@ -16,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.shared import shared_dir
+from quire.sources import shared
 
 #: A word is a run of anything but these ASCII blanks; bytes.split() cuts at exactly the same six.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -49,17 +47,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, removed when the application ends."""
     tuned(spark)
-    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder; without a live context there is nothing left to do."""
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return shared.scratch(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -79,7 +67,7 @@ def forget(*frames: DataFrame) -> None:
     """Deletes the tables of written frames, once all that is made of them has been written as well."""
     for df in frames:
         if held := _tables.pop(id(df), None):
-            remove(df.sparkSession, held[1])
+            shared.remove(df.sparkSession, held[1])
 
 
 #: Words and pieces of more characters aren't kept by workers, so that a bound on their number bounds their bytes.
