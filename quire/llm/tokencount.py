@@ -24,7 +24,7 @@ from quire.llm.common import LONG, batch, documents, kept, slices, tidy, tokeniz
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 CHUNK = 256
 #: What a worker keeps; beyond it the store is emptied and filled anew.
-PIECES_KEPT, STATES_KEPT, PAIRS_KEPT = 400_000, 100_000, 400_000
+PIECES_KEPT, STATES_KEPT, PAIRS_KEPT = 800_000, 200_000, 2_000_000
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 # classes of characters: letters that end a contraction stand apart
