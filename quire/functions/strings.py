@@ -206,7 +206,9 @@ def line_column(text: Column, at: Column) -> Column:
 
 def column_column(text: Column, at: Column) -> Column:
     """1-based column of an offset within its line; with line_column() the same as line_and_column()."""
-    return F.length(F.regexp_extract(F.substr(text, F.lit(1), at), "[^\r\n]*\\z", 0)) + 1
+    ahead = F.substr(text, F.lit(1), at)
+    back = F.instr(F.reverse(F.translate(ahead, "\r", "\n")), "\n")  # places from the last line end on
+    return F.when(back > 0, back).otherwise(F.length(ahead) + 1)
 
 
 def big_endian(raw: Column) -> Column:
