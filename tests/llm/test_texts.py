@@ -266,6 +266,44 @@ def test_bands_keep_common_symbols(spark):
     assert not kept.pop(999) and sum(kept[i] for i in range(1, 120, 2)) >= 54 and sum(kept[i] for i in range(0, 120, 2)) >= 54
 
 
+def test_spelling_is_one_to_one():
+    points = [c for c in range(0x110000) if chr(c) not in " \t\n\v\f\r"]
+    alone = "abcdefghijklmnopqrstuvwxyz0123456789.,;:!?'\"-()#*$%&|<>@/"
+
+    def read(s):
+        at = iter(s)
+        for x in at:
+            if x < 59:
+                yield 32 if x == 1 else ord(alone[x - 2])
+            elif x == 59:
+                yield ord(alone[next(at) - 2]) - 32
+            else:
+                c = 0
+                for _ in range(x - 59):
+                    c = c << 6 | next(at)
+                yield c | 0xC0 if x == 60 else c
+
+    s, n = perplexity.symbols("".join(map(chr, points)))
+    edge = perplexity.ORDER - 1
+    assert n == len(points) + 1 and s.min() >= 0 and s.max() < 64
+    assert s[:edge].tolist() == [1] * edge and list(read(s[edge:].tolist())) == [*points, 32]
+    for text, want in (("  aÉ\n\tZ文 \u0001😀  ", "aÉ Z文 \u0001😀 "), ("x", "x "), (" \n", ""), ("\ud800A", "\ud800A ")):
+        s, n = perplexity.symbols(text)
+        assert "".join(map(chr, read(s[edge:].tolist()))) == want and n == len(want), text
+
+
+def test_bands_tell_characters_apart(spark):
+    from tests.llm.conftest import sentence
+
+    # of other scripts and in capitals, texts are judged by their own letters: 13 or 26 code points on is another text
+    moved = lambda t, by: "".join(chr(0x430 + ord(c) - ord("a") + by) if c != " " else c for c in t)
+    rows = [(i, moved(sentence(60, i), 0), "ru", "s", 1) for i in range(60)] + [(100 + i, sentence(60, i), "en", "s", 1) for i in range(60)]
+    rows += [(998, moved(sentence(60, 70), 13 * 40), "ru", "s", 1), (999, sentence(60, 70).upper(), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.kept for r in perplexity.judged(docs).collect()}
+    assert not kept.pop(998) and not kept.pop(999) and sum(kept.values()) >= 114
+
+
 def test_language_model(odd, empty):
     from tests.llm.conftest import texts_of
 
