@@ -11,13 +11,14 @@ noise; the tasks' moves are then added up where a symbol is rare and averaged wh
 that learn side by side grows with the root of the corpus, as each passes on what it has moved. In scoring, matrix products
 give all classes' scores after each context, and those of all symbols of the next symbol's class; both are normalised, so
 the probabilities of all symbols add up to one. Words too rare to be sent to every task are joined to their counts.
+
+Texts are read twice, to count their words and to write their symbols; learning and scoring read the symbols.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -35,8 +36,10 @@ SMOOTH = 0.1
 LEAST, ROOTS, SHARED = 100, 10, 256
 #: Words whose counts go to every task.
 FREQUENT = 100_000
-#: Size of a vector, symbols before the next one; symbols, noise words and noise classes of a step, and its length; tokens scored at a time.
-WIDTH, CONTEXT, PAIRS, SAMPLED, CLASSES, RATE, AT_ONCE = 16, 2, 1024, 32, 16, 0.3, 1 << 15
+#: Size of a vector, symbols before the next one; symbols, noise words and noise classes of a step, and its length.
+WIDTH, CONTEXT, PAIRS, SAMPLED, CLASSES, RATE = 16, 2, 1024, 32, 16, 0.3
+#: Tokens scored at a time, and scores made at a time, which a core's cache holds; bytes of symbols that work arrays are made for.
+AT_ONCE, SCORES, LAID = 1 << 16, 1 << 17, 1 << 18
 #: How often a task meets a symbol, up to which the tasks' moves are added up.
 FEW = 30
 #: Tasks that learn side by side, as a share of the root of the tokens; below ENOUGH tokens texts are read again, for ROUNDS at most.
@@ -45,7 +48,7 @@ END = b""
 COUNTED = 400_000
 ROWS = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-    ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())),
+    ("base", pa.float64()), ("shares", pa.float64()), ("symbols", pa.binary()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())),
 ])
 
 
@@ -82,9 +85,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Symbols(dict):
     """Words to symbols, kept as they are met."""
 
-    def __init__(self, own: dict[bytes, int], first: int | None = None):
+    def __init__(self, own: dict[bytes, int], first: int):
         super().__init__(own)
-        self.own, self.first = own, len(own) - 1 if first is None else first
+        self.own, self.first = own, first
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000 + len(self.own):
@@ -135,6 +138,19 @@ def contexts(symbols: np.ndarray, starts: np.ndarray, last: int) -> tuple[np.nda
     return before, symbols
 
 
+def stored(n: int) -> str:
+    """How symbols below `n` are written."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def laid(texts: list[bytes], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols, starts) of texts' written symbols laid end to end, some texts at a time."""
+    size = np.dtype(kind).itemsize
+    for i, k in slices(texts, LAID):
+        ends = np.cumsum([len(t) // size for t in texts[i:k]])
+        yield np.frombuffer(b"".join(texts[i:k]), kind).astype(np.int64), np.append(0, ends[:-1])
+
+
 def rare_words(line: list[bytes], places: np.ndarray, ends: np.ndarray) -> list[Counter[bytes]]:
     """The words at some places of texts laid end to end, counted for each text."""
     cuts = np.searchsorted(places, ends)
@@ -146,7 +162,7 @@ class LogBilinear:
     """score(next, before) = next vector . sum of (before vector @ matrix of its place) + bias, for symbols and their classes.
 
     Classes are rows behind those of the symbols. A class holds symbols of like frequency; each has about the same sum of
-    roots of frequencies, so frequent symbols lie in small classes.
+    roots of frequencies, so frequent symbols lie in small classes. The width is even.
     """
 
     def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 3):
@@ -178,42 +194,52 @@ class LogBilinear:
 
     def _move(self, rows: np.ndarray, *moves: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         """Moves rows of (table, squares) against their slopes, the steps shortened by what has been moved before."""
-        order = np.argsort(rows)
-        at = rows[order]
+        order = _sorted(rows, len(self.unigram))
+        at = rows.take(order)
         edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        at = at[edge]
+        at = at.take(edge)
         for slopes, table, squares in moves:
-            g = np.add.reduceat(slopes[order], edge, axis=0)
-            squares[at] = held = squares[at] + (g**2 if g.ndim == 1 else np.einsum("ij,ij->i", g, g) / g.shape[1])
-            size = RATE / np.sqrt(held)
-            table[at] -= size * g if g.ndim == 1 else size[:, None] * g
+            if slopes.ndim == 1:
+                g = np.add.reduceat(slopes.take(order), edge)
+                held = squares.take(at) + g**2
+                table[at] = table.take(at) - RATE / np.sqrt(held) * g
+            else:
+                # sums of pairs of floats as of complex numbers: the same sums in half the calls
+                g = np.add.reduceat(slopes.take(order, 0).view(np.complex64), edge, axis=0).view(np.float32)
+                held = squares.take(at) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+                g *= (RATE / np.sqrt(held))[:, None]
+                table[at] = table.take(at, 0) - g
+            squares[at] = held
 
     def learn(self, before: np.ndarray, following: np.ndarray) -> None:
         """Tells the symbols of each step, and their classes, from noise drawn for it by frequency."""
+        width, shape = self.before.shape[1], self.turn.shape
         for i in range(0, len(following), PAIRS):
-            c, t = before[i : i + PAIRS], following[i : i + PAIRS]
-            r = [self.before[c[:, k]] for k in range(CONTEXT)]
-            q = sum(x @ m for x, m in zip(r, self.turn, strict=True))
+            c, t = before[i : i + PAIRS].ravel(), following[i : i + PAIRS]
+            r = self.before.take(c, 0).reshape(len(t), -1)  # the vectors of a context side by side
+            turn = self.turn.reshape(-1, width)
+            q = r @ turn
             gq, rows, slopes, lift = 0, [], [], []
-            for (first, ladder, drawn), own in zip(self.levels, (t, self.n + self.of[t]), strict=True):
+            for (first, ladder, drawn), own in zip(self.levels, (t, self.n + self.of.take(t)), strict=True):
                 n = first + np.minimum(np.searchsorted(ladder, self.rnd.random(drawn) * ladder[-1]), len(ladder) - 1)
-                true, other = self.next[own], self.next[n]
-                gt = _sigmoid(np.einsum("ij,ij->i", q, true) + self.bias[own] - self.noise[own]) - 1
-                gn = q @ other.T
-                gn += self.bias[n] - self.noise[n]
+                true, other = self.next.take(own, 0), self.next.take(n, 0)
+                gt = _sigmoid(0.5 * (np.einsum("ij,ij->i", q, true) + self.bias.take(own) - self.noise.take(own))) - 1
+                gn = q @ (0.5 * other).T
+                gn += 0.5 * (self.bias[n] - self.noise[n])
                 gn = _sigmoid(gn)
-                gq = gq + gt[:, None] * true + gn @ other
+                true *= gt[:, None]
+                true += gn @ other
+                gq = gq + true
                 rows += [own, n]
                 slopes += [gt[:, None] * q, gn.T @ q]
-                lift += [gt, gn.sum(axis=0)]
-            back = [gq @ m.T for m in self.turn]
-            g = np.stack([x.T @ gq for x in r])
+                lift += [gt, np.ones(len(t), np.float32) @ gn]
+            back, g = gq @ turn.T, (r.T @ gq).reshape(shape)
             self.squares[3] += g**2
             at = np.concatenate(rows)
             self.met[at] = True
-            self.met[c.ravel()] = True
+            self.met[c] = True
             self._move(at, (np.concatenate(slopes), self.next, self.squares[1]), (np.concatenate(lift), self.bias, self.squares[2]))
-            self._move(c.T.ravel(), (np.concatenate(back), self.before, self.squares[0]))
+            self._move(c, (back.reshape(-1, width), self.before, self.squares[0]))
             self.turn -= RATE / 2 * g / np.sqrt(self.squares[3])
 
     def rows(self) -> np.ndarray:
@@ -230,64 +256,70 @@ class LogBilinear:
     def log10(self, before: np.ndarray, following: np.ndarray) -> np.ndarray:
         """log10 probabilities of next symbols: of the class among classes, times of the symbol among those of its class."""
         out, ends = np.empty(len(following)), np.append(self.starts[1:], self.n)
+        turned = [self.before @ m for m in self.turn]
+        rows = np.hstack([self.next, self.bias[:, None]])  # times a vector and 1
+        classes, members = rows[self.n :], rows.take(self.order, 0)
         for i in range(0, len(out), AT_ONCE):
             c, t = before[i : i + AT_ONCE], following[i : i + AT_ONCE]
-            q = sum(self.before[c[:, k]] @ self.turn[k] for k in range(CONTEXT))
-            kind = self.of[t]
-            made = _chosen(q @ self.next[self.n :].T + self.bias[self.n :], kind)
-            order = np.argsort(kind, kind="stable")
-            edge = np.flatnonzero(np.append(True, np.diff(kind[order]) != 0))
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
-                some = order[a:b]
-                k = kind[some[0]]
+            kind = self.of.take(t)
+            order = _sorted(kind, len(classes))
+            t, kind = t.take(order), kind.take(order)
+            q = np.ones((len(t), rows.shape[1]), np.float32)
+            q[:, :-1] = sum(x.take(c[:, k].take(order), 0) for k, x in enumerate(turned))
+            made = _chosen(q, classes, kind)
+            edge = np.flatnonzero(np.append(True, np.diff(kind) != 0))
+            place = self.place.take(t)
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(t)], strict=True):
+                k = kind[a]
                 if ends[k] - self.starts[k] > 1:
-                    members = self.order[self.starts[k] : ends[k]]
-                    made[some] += _chosen(q[some] @ self.next[members].T + self.bias[members], self.place[t[some]])
-            out[i : i + AT_ONCE] = made
+                    made[a:b] += _chosen(q[a:b], members[self.starts[k] : ends[k]], place[a:b])
+            out[i + order] = made
         return out / np.log(10)
 
 
+def _sorted(x: np.ndarray, n: int) -> np.ndarray:
+    """The order of numbers below `n`; 16 bits are sorted by their digits, which is faster."""
+    return np.argsort(x.astype(np.uint16), kind="stable") if n <= 1 << 16 else np.argsort(x, kind="stable")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)), in place, without overflow."""
-    x *= 0.5
+    """1 / (1 + exp(-2 * x)), in place, without overflow."""
     np.tanh(x, out=x)
     x += 1
     x *= 0.5
     return x
 
 
-def _chosen(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log of one entry's share of each row's exponentials."""
-    if scores.max() > 40:  # learned scores are logs of shares already, and lie far below
-        scores -= scores.max(axis=1, keepdims=True)
-    own = scores[np.arange(len(at)), at].astype(float)
-    return own - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
+def _chosen(q: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of one row's share of the exponentials of all rows' products with each of `q`."""
+    out, n = np.empty(len(at)), len(rows)
+    step, ones, turned = max(64, SCORES // n), np.ones(n, np.float32), np.ascontiguousarray(rows.T)
+    for i in range(0, len(at), step):
+        some = at[i : i + step]
+        scores = q[i : i + step] @ turned
+        if scores.max() > 40:  # learned scores are logs of shares already, and lie far below
+            scores -= scores.max(axis=1, keepdims=True)
+        own = scores.ravel().take(np.arange(0, len(some) * n, n) + some)
+        out[i : i + step] = own - np.log(np.exp(scores, out=scores) @ ones)
+    return out
 
 
-def trained(docs: DataFrame, own: dict[bytes, int], unigram: np.ndarray, tokens: int) -> LogBilinear:
-    """The model after all training texts have streamed through it, once, or in some rounds if they are few."""
-    model, last = LogBilinear(unigram), len(unigram) - 1
+def trained(texts: DataFrame, unigram: np.ndarray, tokens: int) -> LogBilinear:
+    """The model after the written symbols of all training texts have streamed through it, once, or in some rounds if they are few."""
+    model, last, written_as = LogBilinear(unigram), len(unigram) - 1, stored(len(unigram))
     if not tokens:
         return model
-    texts = training(docs)
     side = max(2, round(SIDE * tokens**0.5))
 
     def shard(at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["id", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = Symbols(own)
         model.start(1000 * TaskContext.get().partitionId() + turn, tokens)
         first, matrices = model.rows(), model.turn.copy()
         for b in batches:
-            found = b.column(0).to_pylist()
-            for i, k in slices(found):
-                line, sizes = [], []
-                for t in found[i:k]:
-                    line += map(symbol.__getitem__, words(t))
-                    line.append(last)
-                    sizes.append(len(line))
-                model.learn(*contexts(np.array(line, np.int64), np.array([0, *sizes[:-1]]), last))
+            for symbols, starts in laid(b.column(0).to_pylist(), written_as):
+                model.learn(*contexts(symbols, starts, last))
         at = np.flatnonzero(model.met)
         if len(at):
             moved = model.rows() - first
@@ -351,60 +383,58 @@ def score_texts(docs: DataFrame) -> DataFrame:
     own = own_symbols(often)
     masses, alone = class_masses(counts, own), len(own) - 1
     weights = np.concatenate([[c for w, c in often if w != END], masses, [ends + SMOOTH]]).astype(float)
-    net = trained(docs, own, weights / weights.sum(), total["n"])
-    share = np.log10(masses)
+    unigram, share = weights / weights.sum(), np.log10(masses)
     whole = np.log10(total["n"] + SMOOTH * (total["v"] + 1))
     listed = [(w, c) for w, c in frequent if w != END]
-    # words by their places in arrays of symbols and of logs; the text end is the last, an unknown word stands behind it
-    place = {w: k for k, (w, _) in enumerate(listed)}
-    symbols = np.array([own.get(w, alone + ending(w)) for w, _ in listed] + [alone + SHARED, 0], np.int64)
-    counted = np.log10(np.array([c for _, c in listed] + [ends, 0], float) + SMOOTH)
-    end = len(listed)
+    # words by their places in arrays of symbols and of logs; the text end is the last, other words' shared symbols stand behind it
+    end, last, written_as = len(listed), alone + SHARED, stored(len(unigram))
+    place = {w: k for k, (w, _) in enumerate(listed)} | {END: end}
+    symbols = np.array([own.get(w, alone + ending(w)) for w, _ in listed] + [last, *range(alone, last)], np.int64)
+    counted = np.append(np.log10(np.array([c for _, c in listed] + [ends], float) + SMOOTH), np.zeros(SHARED))  # the others' are joined later
+    if not ends:
+        counted[end] = 0.0
+    tail = (symbols >= alone) & (symbols < last)
+    parts = np.where(tail, counted - share[np.where(tail, symbols - alone, 0)], 0.0)  # of a word in its symbol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, last, row = Symbols({END: alone + SHARED}, alone), alone + SHARED, TaskContext.get().partitionId() << 40
-        get = place.get
+        found, row = Symbols(place, end + 1), TaskContext.get().partitionId() << 40
         for b in batches:
             keys, texts, out = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             for i, k in slices(texts):
-                line, sizes, made, at = [], [], [], []
-                for key, text, fold in zip(keys[i:k], texts[i:k], out[i:k], strict=True):
-                    found = words(text)
-                    at += map(get, found, repeat(end + 1))
-                    at.append(end)
-                    sizes.append(len(found) + 1)
-                    line += found
+                line, ends_ = [], []
+                for text in texts[i:k]:
+                    line += words(text)
                     line.append(END)
-                    made.append((row, key, fold))
-                    row += 1
-                at = np.array(at, np.int64)
-                kinds, logs = symbols[at], counted[at]
-                gaps = np.flatnonzero(at > end)
-                kinds[gaps] = [shared[line[x]] for x in gaps.tolist()]
-                ends_ = np.cumsum(sizes)
-                starts = ends_ - sizes
-                rare = rare_words(line, gaps, ends_) if ends else rare_words(line, np.union1d(gaps, ends_ - 1), ends_)
-                before, following = contexts(kinds, starts, last)
-                step = net.log10(before, following)
-                tail = (kinds >= alone) & (kinds < last)
-                logs[at > end] = 0.0  # joined to their counts later
-                if not ends:
-                    logs[ends_ - 1] = 0.0
-                step[tail] += logs[tail] - share[kinds[tail] - alone]
-                base, model = np.add.reduceat(logs, starts), np.add.reduceat(step, starts)
+                    ends_.append(len(line))
+                at = np.fromiter(map(found.__getitem__, line), np.int64, len(line))
+                gaps, ends_ = np.flatnonzero(at > end), np.array(ends_)
+                starts = np.append(0, ends_[:-1])
+                rare = rare_words(line, gaps if ends else np.union1d(gaps, ends_ - 1), ends_)
+                sizes, laid_out = ends_ - starts, symbols.take(at).astype(written_as)
                 yield batch(
-                    ROWS, row=[m[0] for m in made], doc_id=[m[1] for m in made], held_out=[m[2] for m in made], n_tokens=sizes, n_known=np.array(sizes) - [x.total() for x in rare],
-                    base=base - np.array(sizes) * whole, model=model, rare=[list(x.keys()) for x in rare], times=[list(x.values()) for x in rare],
+                    ROWS, row=np.arange(row, row + k - i), doc_id=keys[i:k], held_out=out[i:k], n_tokens=sizes, n_known=sizes - [x.total() for x in rare],
+                    base=np.add.reduceat(counted.take(at), starts) - sizes * whole, shares=np.add.reduceat(parts.take(at), starts),
+                    symbols=[laid_out[a:b].tobytes() for a, b in zip(starts.tolist(), ends_.tolist(), strict=True)], rare=[list(x.keys()) for x in rare], times=[list(x.values()) for x in rare],
                 )
+                row += k - i
 
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>"
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, shares double, symbols binary, rare array<binary>, times array<int>"
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
-    rows = written(source.mapInArrow(tidy(run), kind), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    texts = written(source.mapInArrow(tidy(run), kind), "symbols")
+    net = trained(texts.where(~F.col("held_out")).select("symbols"), unigram, total["n"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.add.reduceat(net.log10(*contexts(line, starts, last)), starts) for line, starts in laid(b.column("symbols").to_pylist(), written_as)]
+            yield b.drop_columns(["symbols"]).append_column("model", pa.array(np.concatenate([np.empty(0), *made])))
+
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, shares double, model double"
+    rows = written(texts.drop("rare", "times").mapInArrow(tidy(scored), kind), "scored")
+    rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + SMOOTH)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = rows.drop("rare", "times").join(more, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), (F.col("model") + F.col("more")).alias("score"))
+    out = rows.join(more, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), (F.col("model") + F.col("shares") + F.col("more")).alias("score"))
 
 
 def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,6 +335,29 @@ def test_vocabulary_grows_and_rare_contexts_count(spark, monkeypatch):
     assert (out.score.sum() - out.base_score.sum()) / out.n_tokens.sum() > 0.3
 
 
+def test_texts_are_read_twice(spark):
+    """To count words and to write symbols; the rounds of learning, and scoring, read those."""
+    read = spark.sparkContext.accumulator(0)
+
+    def texts(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(i, f"a b c{i % 7} " * 40) for i in range(50) if zlib.crc32(str(i).encode()) % 10]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(texts, "doc_id long, text string")
+    assert bilinear.score_texts(docs).count() == len(rows) and read.value == 2 * len(rows)
+
+
+def test_symbols_are_read_as_written():
+    for n, kind in ((1 << 16, "<u2"), ((1 << 16) + 1, "<u4")):
+        assert bilinear.stored(n) == kind
+        texts = [np.array(t, kind).tobytes() for t in ([n - 1], [3, 0, n - 1], [n - 1])]
+        ((symbols, starts),) = bilinear.laid(texts, kind)
+        assert symbols.tolist() == [n - 1, 3, 0, n - 1, n - 1] and starts.tolist() == [0, 1, 4]
+    assert [s.tolist() for s, _ in bilinear.laid([bytes(bilinear.LAID), b"\1\0"], "<u2")] == [[0] * (bilinear.LAID // 2), [1]]
+
+
 def test_contexts_stay_in_a_text():
     before, following = bilinear.contexts(np.array([4, 5, 9, 9, 6, 9]), np.array([0, 3, 4]), 9)
     assert following.tolist() == [4, 5, 9, 9, 6, 9]
