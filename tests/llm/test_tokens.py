@@ -1,8 +1,10 @@
+import pickle
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -62,6 +64,40 @@ def test_tasks_drop_what_others_keep():
     assert list(common.tidy(lambda batches: (len(held) for _ in batches))(iter([0]))) == [0]
 
 
+def test_tasks_drop_what_others_keep_in_a_worker():
+    """A worker gets a copy of a task's function; that must drop the worker's own stores."""
+    task = pickle.loads(cloudpickle.dumps(common.tidy(lambda batches: batches)))
+    held = {1: 2}
+    common.kept("test", held)
+    list(task(iter([0])))
+    assert not held
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_encoded_once(name, monkeypatch):
+    """A word that is kept isn't encoded again for other marks, letters' cases that the vocabulary folds, or after the store was changed."""
+    tokens, seen = PieceEncoder(name), []
+    bare = tokens._bare
+    monkeypatch.setattr(tokens, "_bare", lambda words: bare(seen.append(words) or words))
+    texts = ["x thblean thblean, y", "x thblean&&& thblean%%% thblean.###", "x THBLEAN É thblean!"]
+    got = [tokens.encode([t])[0] for t in texts]
+    tokens.store, tokens.old, tokens.held = {}, tokens.store, 0
+    got += tokens.encode(texts)
+    want = [np.array(e.ids, "<u4").tobytes() for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    assert got == want * 2
+    assert sum(w.lstrip(tokens.lead) == "thblean" for words in seen for w in words) == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_letters_and_marks(name):
+    rnd = random.Random(6)
+    some = ["A", "b", "é", "É", "ÿ", "ß", "ª", "µ", "İ", "Σ", "th", "ing", "ING", "<|ENDOFTEXT|>", "|", "\n", " ", " ", "  ", "\n ", ",", "###", "<", "'S", "'s", "\")", "9", "日", "e\u0301", "=\u0338", "<\u0338"]
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 60))) for _ in range(4000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    assert PieceEncoder(name).encode(texts) == want
+    assert PieceEncoder(name, 5000).encode(texts) == want
+
+
 def test_state_maps_compose():
     rnd = np.random.default_rng(0)
     maps = rnd.integers(0, tokencount.STATES, (37, tokencount.STATES)).astype(np.int8)
