@@ -88,6 +88,16 @@ def test_words_are_encoded_once(name, monkeypatch):
     assert sum(w.lstrip(tokens.lead) == "thblean" for words in seen for w in words) == 1
 
 
+def test_plain_words_do_without_the_patterns(monkeypatch):
+    """Words with marks, at the beginning of lines too, go to the model; only other pieces go through the vocabulary's patterns."""
+    tokens, seen = PieceEncoder("byte_bpe_50k.json"), []
+    marked = tokens._marked
+    monkeypatch.setattr(tokens, "_marked", lambda library, mark, texts: marked(library, mark, (seen.extend(texts if library is tokens.library else []), texts)[1]))
+    texts = ["one\nThblean, oreinth*** Ouç&&&\nereti\")", "two 32bb\n4"]
+    assert tokens.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
+    assert sorted(seen) == [" 32bb", "4"]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_words_of_letters_and_marks(name):
     rnd = random.Random(6)
