@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import crypt, filters, geometry, sql, strings, values
 from quire.operators import content, golden, graph, layout, pages
 from quire.sources import compose, objects, pdf, secure
-from quire.sources.shared import shared_dir, written
+from quire.sources.shared import shared_dir, tuned, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,7 @@ def query(text: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -18,6 +18,7 @@ from quire.functions import geometry
 from quire.sources import objects as o
 from quire.sources.lexer import Lexer
 from quire.sources.parser import Document, decoded, parse
+from quire.sources.shared import tuned
 
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
@@ -32,6 +33,7 @@ TOKENS = "doc_id string, ord int, start_pos long, end_pos long, lexeme string, k
 
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """(doc_id, content, modified, length) of files below a path; the path is the id."""
+    tuned(spark)
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return found.select(F.col("path").alias("doc_id"), "content", F.col("modificationTime").alias("modified"), "length")
 

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import pytest
@@ -81,3 +82,23 @@ def test_running_sums_read_every_byte(spark):
         b = (r.t or "").encode()
         assert r.sub == digest([sum(b[j] for j in range(i // 48 * 48, i + 1) if j % 3 == i % 3) % 256 for i in range(len(b))])
         assert r.up == digest([sum(b[i % 48 : i + 1 : 48]) % 256 for i in range(len(b))])
+
+
+@given(st.binary(max_size=200), st.integers(0, 4), st.integers(1, 9), st.integers(1, 4), st.sampled_from([8, 16]))
+def test_predicting_by_parts(data, kind, columns, colors, bits):
+    whole, most = filters.predict(data, kind, columns, colors, bits), filters.PREDICTED
+    filters.PREDICTED = 40
+    try:
+        assert filters.predict(data, kind, columns, colors, bits) == whole
+    finally:
+        filters.PREDICTED = most
+
+
+def test_predicting_takes_little_room():
+    data = bytes(range(256)) * (1 << 15)
+    for kind in range(5):
+        tracemalloc.start()
+        made = filters.predict(data, kind, 16)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(made) == len(data) * 17 // 16 and peak < 5 * len(data)

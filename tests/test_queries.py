@@ -3,6 +3,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quire.plans import registry
 
@@ -40,3 +41,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_batches_of_queries_are_bounded(spark, tmp_path):
+    """Texts of 12 MB in one task come to Python in batches of about 2 MB, in a session without a bound of its own."""
+    session = spark.newSession()
+    session.range(0, 12000, 1, 1).selectExpr("id AS doc_id", "repeat('text', 256) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    @F.pandas_udf("long")
+    def held(text: pd.Series) -> pd.Series:
+        return pd.Series([int(text.str.len().sum())] * len(text))
+
+    sizes = registry.table(session, str(tmp_path), "documents").coalesce(1).select(held("text").alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] < 3 << 20
