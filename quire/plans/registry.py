@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +44,8 @@ RANGES = [(1, 3), (5, 5), (2, 2)]
 # --- documents: written, read back, and compared ---
 
 
-def conversation_files(spark: SparkSession, sf_dir: str, compress: bool = False) -> DataFrame:
-    return pdf.assemble(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", compress=compress)
+def conversation_files(spark: SparkSession, sf_dir: str, compress: bool = False, finish: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    return pdf.assemble(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", compress=compress, finish=finish)
 
 
 @query("SELECT conv_id::VARCHAR AS doc_id, count(*)::INT AS num_pages, 'ok' AS status, '1.3' AS version, (2 * count(*) + 2)::INT AS num_objects FROM conversations GROUP BY conv_id")
@@ -122,11 +121,7 @@ def sealed(data: bytes, password: bytes) -> bytes:
 def pdf_sealed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of encrypted files, read with their password."""
 
-    @F.pandas_udf("binary")
-    def seal(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: sealed(bytes(b), b"pass word"))
-
-    made = conversation_files(spark, sf_dir).withColumn("content", seal("content"))
+    made = conversation_files(spark, sf_dir, finish=lambda b: sealed(b, b"pass word"))
     return pdf.pages(made, password=b"pass word").select("doc_id", "page_no", F.decode("content", "UTF-8").alias("text"))
 
 
@@ -134,11 +129,7 @@ def pdf_sealed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of encrypted files; the password is held against what each file stores."""
 
-    @F.pandas_udf("binary")
-    def seal(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: sealed(bytes(b), b"pass word"))
-
-    return secure.keys(conversation_files(spark, sf_dir).withColumn("content", seal("content")), b"pass word").select("doc_id", "method", "password_fits")
+    return secure.keys(conversation_files(spark, sf_dir, finish=lambda b: sealed(b, b"pass word")), b"pass word").select("doc_id", "method", "password_fits")
 
 
 @query("SELECT conv_id::VARCHAR AS doc_id, (turn + 1)::INT AS page_no, text FROM conversations WHERE regexp_matches(text, '[A-Za-z]')")

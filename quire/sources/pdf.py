@@ -18,7 +18,7 @@ from quire.functions import geometry
 from quire.sources import objects as o
 from quire.sources.lexer import Lexer
 from quire.sources.parser import Document, decoded, parse
-from quire.sources.shared import tuned
+from quire.sources.shared import packed, tuned, values
 
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
@@ -43,21 +43,7 @@ def rows_of(content: DataFrame, ddl: str, make: Callable[[str, bytes], Iterator[
     schema = pa.schema([(n, _TYPES[t]) for n, t in _fields(ddl)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-            rows.clear()
-            return out
-
-        for b in batches:
-            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for row in make(key, data):
-                    rows.append(row)
-                    if len(rows) >= at_once:
-                        yield flush()
-        if rows:
-            yield flush()
+        return packed((row for b in batches for key, data in values(b) for row in make(key, data)), schema, at_once)
 
     return content.select(F.col("doc_id").cast("string"), F.col("content").cast("binary")).mapInArrow(run, ddl)
 
@@ -169,7 +155,7 @@ def parsed(content: DataFrame, tables: tuple[str, ...] = tuple(TABLES), mode: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, data in values(b):
                 doc = checked(key, data, mode, password)
                 if doc is not None:
                     held = [[dict(zip((n for n, _ in kinds[name]), row, strict=True)) for row in TABLES[name][1](doc)] for name in tables]
@@ -271,20 +257,21 @@ def token_table(content: DataFrame, comments: bool = False) -> DataFrame:
     return rows_of(content, TOKENS, make)
 
 
-def assemble(pages_: DataFrame, key: str, order: str, text: str, width: float = 612, height: float = 792, compress: bool = False) -> DataFrame:
+def assemble(pages_: DataFrame, key: str, order: str, text: str, width: float = 612, height: float = 792, compress: bool = False, finish: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """(doc_id, content): one document a key, a page a row in order, its content stream the text's bytes in UTF-8.
 
-    The pages of one document meet in one task, as they do in its file.
+    The pages of one document meet in one task, as they do in its file; there `finish` turns the file into what is returned.
     """
     from quire.sources.writer import from_pages
 
+    box_ = [o.number(x) for x in (0, 0, float(width), float(height))]
+
+    def file(rows: list[dict]) -> bytes:
+        made = from_pages([{"/MediaBox": box_, "/Contents": o.Stream({}, (r["text"] or "").encode())} for r in rows], compress=compress)
+        return finish(made) if finish else made
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for rows in b.column(1).to_pylist():
-                box_ = [o.number(x) for x in (0, 0, float(width), float(height))]
-                out.append(from_pages([{"/MediaBox": box_, "/Contents": o.Stream({}, (r["text"] or "").encode())} for r in rows], compress=compress))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "content"])
+        return packed(((name, file(rows)) for b in batches for name, rows in values(b)), pa.schema([("doc_id", pa.string()), ("content", pa.binary())]))
 
     grouped = pages_.groupBy(F.col(key).cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("text")))).alias("rows"))
     return grouped.mapInArrow(make, "doc_id string, content binary")

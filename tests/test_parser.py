@@ -2,6 +2,7 @@ import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from quire.sources import objects as o
@@ -272,3 +273,29 @@ def test_wrapping_by_definition():
 
 def test_numbers_are_ascii():
     assert [v.kind for v in map(lambda x: parse(build(BASE | {5: x})).objects.get((5, 0)), (b"12", b"-1.5", b".5", b"\xb2", b"1e5"))] == ["number", "number", "number", "keyword", "keyword"]
+
+
+class Mapped:
+    """A frame that gives the function it is mapped by, so that its batches can be looked at."""
+
+    groupBy = agg = select = lambda self, *columns: self
+
+    def mapInArrow(self, run, ddl):
+        return run
+
+
+def test_batches_out_are_bounded_by_bytes(spark):
+    """60 MB of rows, or of files, from one batch leave in batches of about 2 MB; what comes out is all of it."""
+    source = pa.RecordBatch.from_pydict({"doc_id": [str(k) for k in range(60)], "content": [b"x"] * 60})
+    made = list(pdf.rows_of(Mapped(), "doc_id string, n int, content binary", lambda key, data: ((key, n, data * (1 << 18)) for n in range(4)))(iter([source])))
+    assert [(r["doc_id"], r["n"]) for b in made for r in b.to_pylist()] == [(str(k), n) for k in range(60) for n in range(4)]
+    assert max(b.nbytes for b in made) < 3 << 20
+    turns = pa.RecordBatch.from_pydict({"doc_id": [str(k) for k in range(60)], "rows": [[{"at": 0, "text": "y" * (1 << 20)}]] * 60})
+    files = list(pdf.assemble(Mapped(), "k", "at", "text")(iter([turns])))
+    assert [r["doc_id"] for b in files for r in b.to_pylist()] == [str(k) for k in range(60)] and max(b.nbytes for b in files) < 4 << 20
+
+
+def test_files_are_finished_where_they_are_made(spark):
+    df = spark.createDataFrame([("a", 0, "one"), ("b", 0, None)], "k string, n int, t string")
+    plain, turned = ({r.doc_id: bytes(r.content) for r in pdf.assemble(df, "k", "n", "t", finish=f).collect()} for f in (None, lambda b: b[::-1]))
+    assert turned == {k: b[::-1] for k, b in plain.items()} and set(plain) == {"a", "b"}
